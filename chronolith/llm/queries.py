@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .encoding import encode_texts
+from .spans import shared_pairs, shared_parts, shared_spans
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +18,20 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(_table(spark, folder, "documents"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_pairs(_table(spark, folder, "documents"))
+
+
+def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(_table(spark, folder, "documents"))
+
+
+def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_parts(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {f.__name__: f for f in (p7_ids, p9_found, p9_spans, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
