@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.series_keys import canonical_key
+from .distinct import distinct_counts, sketch
 from .encoding import encode_texts
+from .membership import audit, seen_before
+from .packing import pack_texts, packing_report, token_counts
 from .spans import shared_pairs, shared_parts, shared_spans
 
 
@@ -14,10 +19,43 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    log = _table(spark, folder, "series_log").select("series_key", F.to_date("logged_at").alias("day"), "db", "measurement", "region")
+    return sketch(log, canonical_key("series_key"), ["day", "db", "measurement", "region"])
+
+
+def p1_series_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct_counts(p1_sketches(spark, folder))
+
+
+def p1_measurement_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct_counts(sketch(_table(spark, folder, "measurement_fields"), F.col("measurement"), ["field_type"]))
+
+
+def p4_seen(spark: SparkSession, folder: str) -> DataFrame:
+    return seen_before(_table(spark, folder, "series_segments"), _table(spark, folder, "series_log"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_seen(spark, folder).where("seen").select("entry_id")
+
+
+def p4_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(_table(spark, folder, "series_segments"), _table(spark, folder, "series_log"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(_table(spark, folder, "documents"))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_texts(token_counts(_table(spark, folder, "documents")), _table(spark, folder, "pack_sizes"))
+
+
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(token_counts(_table(spark, folder, "documents")), _table(spark, folder, "pack_sizes"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_pairs(_table(spark, folder, "documents"))
 
@@ -31,7 +69,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p9_found, p9_spans, p9_shared)}
+    return {f.__name__: f for f in (p1_series_counts, p1_sketches, p1_measurement_counts, p4_found, p4_seen, p4_audit, p7_ids, p8_containers, p8_bounds, p9_found, p9_spans, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
