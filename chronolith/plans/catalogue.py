@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from . import data_queries
+
 
 def flagship(spark, folder):
-    raise NotImplementedError
+    return data_queries.p6_series(spark, folder)
 
 
 def queries():
-    return {}
+    return data_queries.queries()
 
 
 def oracle_sql():
-    return {}
+    return data_queries.oracle_sql()
