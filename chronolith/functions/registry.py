@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..lang.errors import AnalysisError
@@ -81,6 +81,8 @@ for _name, _function in {
     "stddev": Function("agg", (1, 1), lambda v, t, a, n: F.stddev_samp(v), _float),
     # the sketch of 2**16 registers that the storage keeps for cardinalities
     "approx_count_distinct": Function("agg", (1, 1), lambda v, t, a, n: F.hll_sketch_estimate(F.hll_sketch_agg(v.cast("string"), 16)), _integer, False),
+    # the planner gives the areas between points of a group
+    "integral": Function("agg", (1, 2), lambda v, t, a, n: F.sum(v), _float),
     "percentile": Function("selector", (2, 2), _percentile),
     "min": Function("selector", (1, 1), lambda v, t, a, n: F.min(v)),
     "max": Function("selector", (1, 1), lambda v, t, a, n: F.max(v)),
@@ -100,7 +102,7 @@ register_function("sample", Function("rows", (2, 2), lambda v, t, a: (int(a[-1])
 # transforms: build(value, ticks, args, series, unit): ticks is the time as a long, of which ``unit`` make a second
 def _lagged(make: Callable[[Column, Column, Column, Column], Column]) -> Callable:
     def build(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int) -> Column:
-        before = series.rowsBetween(-(1 << 62), -1)
+        before = series.rowsBetween(Window.unboundedPreceding, -1)
         # the point before with a value
         old = F.last(F.when(v.isNotNull(), F.struct(v.alias("v"), ticks.alias("t"))), ignorenulls=True).over(before)
         per = (args[0] if args else 10**9) * unit / 10**9
@@ -132,7 +134,7 @@ register_function("non_negative_derivative", Function("transform", (1, 2), _lagg
 
 
 def _elapsed(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int) -> Column:
-    old = F.last(F.when(v.isNotNull(), ticks), ignorenulls=True).over(series.rowsBetween(-(1 << 62), -1))
+    old = F.last(F.when(v.isNotNull(), ticks), ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
     size = max(1, (args[0] if args else 1) * unit // 10**9) if unit < 10**9 else (args[0] if args else 1)
     scale = 1 if unit == 10**9 or args else 10**9 // unit
     return F.when(v.isNotNull(), F.floor((ticks - old) * scale / size).cast("long"))
@@ -148,7 +150,7 @@ def _moving(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int)
 
 register_function("elapsed", Function("transform", (1, 2), _elapsed, _integer, False))
 register_function("moving_average", Function("transform", (2, 2), _moving, _float))
-register_function("cumulative_sum", Function("transform", (1, 1), lambda v, k, a, s, u: F.when(v.isNotNull(), F.sum(v).over(s.rowsBetween(-(1 << 62), 0)))))
+register_function("cumulative_sum", Function("transform", (1, 1), lambda v, k, a, s, u: F.when(v.isNotNull(), F.sum(v).over(s.rowsBetween(Window.unboundedPreceding, 0)))))
 
 # math: build(columns)
 for _name in ("sqrt", "exp", "sin", "cos", "tan", "asin", "acos", "atan"):
