@@ -27,24 +27,37 @@ _RAISE = 1 << (63 - SHARD_BITS)
 ABSENT = -(1 << 63)
 
 
-def pack_runs(starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """A run bitmap: lengths of clear and set runs in turn, in the narrowest width."""
-    flat = np.empty(2 * len(starts), np.uint64)
-    flat[0::2] = np.diff(np.concatenate([[-1], ends]))[: len(starts)] - (ends - starts + 1)
+def encode_runs(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Run bitmaps: of each, the lengths of clear and set runs in turn.  ``bounds``: where the runs of each begin, and the end."""
+    before = np.empty(len(ends), np.int64)
+    before[1:] = ends[:-1]
+    before[bounds[:-1][bounds[:-1] < len(ends)]] = -1
+    flat = np.empty(2 * len(starts), np.int64)
+    flat[0::2] = starts - before - 1
     flat[1::2] = ends - starts + 1
-    top = int(flat.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + flat.astype(f"<u{width}").tobytes()
+    return pa.ListArray.from_arrays(pa.array(2 * bounds, pa.int32()), pa.array(flat))
 
 
-def unpack_runs(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) unit of each run."""
-    edges = np.cumsum(np.frombuffer(runs, f"<u{runs[0]}", -1, 1).astype(np.int64))
-    return edges[0::2], edges[1::2] - 1
+def decode_runs(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first unit of each run, last unit, ``bounds``) of run bitmaps."""
+    bounds = runs.offsets.to_numpy().astype(np.int64)
+    bounds = bounds - bounds[0]
+    edges = np.concatenate([[0], np.cumsum(runs.flatten().to_numpy())])
+    edges = edges[1:] - np.repeat(edges[bounds[:-1]], np.diff(bounds))
+    return edges[0::2], edges[1::2] - 1, bounds // 2
+
+
+#: Groups united at a time.
+_GROUPS = 1 << (62 - SHARD_BITS)
 
 
 def union_runs(group: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unites the runs of each group; units from 0 to 2**SHARD_BITS - 1, few enough groups for 63 bits in all."""
+    """Unites the runs of each group, which is a number from 0; units from 0 to 2**SHARD_BITS - 1."""
+    top = int(group.max(initial=-1)) + 1
+    if top > _GROUPS:
+        parts = [(first, (group >= first) & (group < first + _GROUPS)) for first in range(0, top, _GROUPS)]
+        made = [(first, union_runs(group[m] - first, starts[m], ends[m])) for first, m in parts]
+        return np.concatenate([f + x[0] for f, x in made]), np.concatenate([x[1] for _, x in made]), np.concatenate([x[2] for _, x in made])
     base = group.astype(np.int64) << SHARD_BITS
     order = np.argsort(base + starts, kind="stable")
     g, a, b = group[order], (base + starts)[order], (base + ends)[order]
@@ -52,67 +65,64 @@ def union_runs(group: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] > reach[:-1] + 1) | (g[1:] != g[:-1])
     begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(a)) - 1
-    g = g[begin]
+    last = np.append(begin[1:], len(a)) - 1 if len(a) else begin
     mask = (1 << SHARD_BITS) - 1
-    return g, a[begin] & mask, reach[last] & mask
+    return g[begin], a[begin] & mask, reach[last] & mask
 
 
-#: Groups united at a time.
-_GROUPS = 1 << (62 - SHARD_BITS)
+def _codes(columns: list[pa.Array]) -> np.ndarray:
+    """A number from 0 for each different row of these columns."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        own = pd.factorize(c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False))[0]
+        code = pd.factorize(code * (own.max(initial=0) + 1) + own)[0]
+    return code
 
 
 def _to_bitmaps(n_keys: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pd.DataFrame({i: batch.column(i).to_pandas() for i in range(n_keys)})
-            code = keys.groupby(list(range(n_keys)), dropna=False, sort=False).ngroup().to_numpy()
-            order = np.argsort(code, kind="stable")
-            starts, ends = batch.column(n_keys).to_numpy()[order], batch.column(n_keys + 1).to_numpy()[order]
-            code = code[order]
-            for first in range(0, int(code.max(initial=-1)) + 1, _GROUPS):
-                a, b = np.searchsorted(code, [first, first + _GROUPS])
-                g, s, e = union_runs(code[a:b] - first, starts[a:b], ends[a:b])
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-                blobs = [pack_runs(s[x:y], e[x:y]) for x, y in zip(cut[:-1], cut[1:])]
-                example = order[a + np.searchsorted(code[a:b], np.unique(code[a:b]))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(example)) for i in range(n_keys)), pa.array(blobs, pa.binary())], names)
+            if not batch.num_rows:
+                continue
+            code = _codes(batch.columns[:n_keys])
+            g, s, e = union_runs(code, batch.column(n_keys).to_numpy(), batch.column(n_keys + 1).to_numpy())
+            count = int(code.max()) + 1
+            example = np.empty(count, np.int64)
+            example[code] = np.arange(len(code))
+            at = pa.array(example)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(n_keys)), encode_runs(s, e, np.searchsorted(g, np.arange(count + 1)))], names)
 
     return run
 
 
 def _union_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = []
-        for blobs in batch.column(batch.num_columns - 1).to_pylist():
-            if len(blobs) == 1:
-                made.append(blobs[0])
-                continue
-            both = [unpack_runs(x) for x in blobs]
-            s, e = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
-            _, s, e = union_runs(np.zeros(len(s), np.int64), s, e)
-            made.append(pack_runs(s, e))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], [*batch.schema.names[:-1], "runs"])
+        if not batch.num_rows:
+            continue
+        lists = batch.column(batch.num_columns - 1)
+        each = np.diff(lists.offsets.to_numpy())
+        s, e, bounds = decode_runs(lists.flatten())
+        g, s, e = union_runs(np.repeat(np.repeat(np.arange(len(each)), each), np.diff(bounds)), s, e)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encode_runs(s, e, np.searchsorted(g, np.arange(len(each) + 1)))], [*batch.schema.names[:-1], "runs"])
 
 
 def _insides(n_keys: int, names: list[str]):
-    """Of each bitmap: the runs and gaps between its first and its last run; both ends of these."""
+    """Of each bitmap: the runs and gaps between its first and its last run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base = batch.column(n_keys).to_numpy() << SHARD_BITS
-            row, lo, hi, kind = [], [], [], []
-            for i, blob in enumerate(batch.column(n_keys + 1).to_pylist()):
-                s, e = unpack_runs(blob)
-                n = len(s)
-                if n > 1:
-                    row.append(np.full(2 * n - 3, i))
-                    lo += [s[1:-1] + base[i], e[:-1] + 1 + base[i]]
-                    hi += [e[1:-1] + base[i], s[1:] - 1 + base[i]]
-                    kind += [np.zeros(n - 2, bool), np.ones(n - 1, bool)]
-            if row:
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(n_keys + 1)), pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi)), pa.array(np.concatenate(kind))], names)
+            if not batch.num_rows:
+                continue
+            s, e, bounds = decode_runs(batch.column(n_keys + 1))
+            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            base = batch.column(n_keys).to_numpy()[owner] << SHARD_BITS
+            k = np.arange(len(s))
+            first, last = k == bounds[owner], k == bounds[owner + 1] - 1
+            inner, gap = np.flatnonzero(~first & ~last), np.flatnonzero(~first)
+            row = pa.array(np.concatenate([owner[inner], owner[gap]]))
+            lo = np.concatenate([s[inner] + base[inner], e[gap - 1] + 1 + base[gap]])
+            hi = np.concatenate([e[inner] + base[inner], s[gap] - 1 + base[gap]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(n_keys + 1)), pa.array(lo), pa.array(hi), pa.array(np.arange(len(lo)) >= len(inner))], names)
 
     return run
 
@@ -122,17 +132,16 @@ def _edges(n_keys: int, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, e, bounds = decode_runs(batch.column(n_keys + 1))
             base = batch.column(n_keys).to_numpy() << SHARD_BITS
-            row, lo, hi, inner = [], [], [], []
-            for i, blob in enumerate(batch.column(n_keys + 1).to_pylist()):
-                s, e = unpack_runs(blob)
-                for k in {0, len(s) - 1}:
-                    row.append(i)
-                    lo.append(int(s[k] + base[i]))
-                    hi.append(int(e[k] + base[i]))
-                    inner.append(k > 0)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(n_keys + 1)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(inner, pa.bool_())], names)
+            first, last = bounds[:-1], bounds[1:] - 1
+            more = np.flatnonzero(last > first)
+            owner = np.concatenate([np.arange(len(first)), more])
+            k = np.concatenate([first, last[more]])
+            row = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(n_keys + 1)), pa.array(s[k] + base[owner]), pa.array(e[k] + base[owner]), pa.array(np.arange(len(k)) >= len(first))], names)
 
     return run
 
@@ -170,7 +179,7 @@ def periods_and_gaps(ranges: DataFrame, keys: list[str], low: str, high: str) ->
     cut = counted.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.whole", "p.shard", "p.a", "p.b")
     kinds = [cut.schema[k] for k in (*keys, "whole", "shard")]
     grouped = [*keys, "whole", "shard"]
-    blob = T.StructType([*kinds, T.StructField("runs", T.BinaryType())])
+    blob = T.StructType([*kinds, T.StructField("runs", T.ArrayType(T.LongType()))])
     # a task sends one bitmap for each group of a batch, so a list is as long as there are batches
     bitmaps = cut.mapInArrow(_to_bitmaps(n + 2, blob.names), blob).groupBy(*grouped).agg(F.collect_list("runs").alias("runs")).mapInArrow(_union_bitmaps, blob)
     shards = bitmaps.where("not whole").select(*keys, "shard", "runs")
@@ -178,14 +187,10 @@ def periods_and_gaps(ranges: DataFrame, keys: list[str], low: str, high: str) ->
 
     def of_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, first, last = [], [], []
-            for i, x in enumerate(batch.column(n).to_pylist()):
-                a, b = unpack_runs(x)
-                row += [i] * len(a)
-                first += (a - _RAISE).tolist()
-                last += (b - _RAISE).tolist()
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(n)), pa.array(first, pa.int64()), pa.array([x << SHARD_BITS for x in first], pa.int64()), pa.array([x << SHARD_BITS | mask for x in last], pa.int64()), pa.nulls(len(row), pa.bool_())], span.names)
+            first, last, bounds = decode_runs(batch.column(n))
+            row = pa.array(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+            first, last = first - _RAISE, last - _RAISE
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(n)), pa.array(first), pa.array(first << SHARD_BITS), pa.array(last << SHARD_BITS | mask), pa.nulls(len(row), pa.bool_())], span.names)
 
     whole = bitmaps.where("whole").select(*keys, "runs").mapInArrow(of_whole, span)
     edges = shards.mapInArrow(_edges(n, span.names), span)
