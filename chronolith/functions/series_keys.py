@@ -39,7 +39,7 @@ def canonical_key(key: Column | str) -> Column:
 
     tags = F.filter(F.slice(parts, 2, 1_000_000), lambda p: (F.instr(p, "=") > 0) & (F.instr(p, "=") < F.length(p)))
     tags = F.array_sort(F.array_distinct(F.transform(tags, value_marked)))
-    return F.concat_ws(",", F.array(F.replace(parts[0], F.lit("="), F.lit(_EQUALS))), tags)
+    return F.when(c.isNotNull(), F.concat_ws(",", F.array(F.replace(parts[0], F.lit("="), F.lit(_EQUALS))), tags))
 
 
 def _plain(c: Column) -> Column:

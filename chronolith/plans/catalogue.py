@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import data_queries
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, folder):
-    return data_queries.p6_series(spark, folder)
+from . import data_queries, language_queries
 
 
-def queries():
-    return data_queries.queries()
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly sums of a day's clicks, from text to DataFrame."""
+    return language_queries.engine(spark, folder).sql("SELECT sum(value) FROM events WHERE time >= '2024-01-05' AND time < '2024-01-06' AND event_type = 'click' GROUP BY TIME(1h) FILL(none)")
 
 
-def oracle_sql():
-    return data_queries.oracle_sql()
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return language_queries.queries() | data_queries.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return language_queries.oracle_sql() | data_queries.oracle_sql()

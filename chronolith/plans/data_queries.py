@@ -85,6 +85,14 @@ _RANGES = """ranges AS (
   SELECT *, max(hi) OVER (PARTITION BY scope, entity ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM counted
 )"""
 
+#: The canonical text of a series key, as ``canonical_key`` gives it.
+KEY_SQL = r"""CASE WHEN series_key IS NOT NULL THEN (
+  WITH a AS (SELECT string_split(replace(replace(replace(replace(series_key, chr(1), chr(1) || chr(1)), '\,', chr(1) || 'c'), '\=', chr(1) || 'e'), '\ ', ' '), ',') AS parts)
+  SELECT array_to_string([replace(parts[1], '=', chr(1) || 'e')] || list_sort(list_distinct(list_transform(
+    list_filter(parts[2:], lambda p: strpos(p, '=') > 0 AND strpos(p, '=') < length(p)),
+    lambda p: left(p, strpos(p, '=')) || replace(substr(p, strpos(p, '=') + 1), '=', chr(1) || 'e')))), ',') FROM a
+) END"""
+
 _GRIDS = """pieces AS (
   SELECT stmt_id, measurement, fill, time_from, time_to,
     list_sum(list_transform(regexp_extract_all(lower(time_interval), '\\d+(?:ms|s|m|h|d)'), lambda x: regexp_extract(x, '\\d+')::BIGINT * map {'ms': 1000, 's': 1000000, 'm': 60000000, 'h': 3600000000, 'd': 86400000000}[regexp_extract(x, '[a-z]+')]))::BIGINT AS i,
@@ -151,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
             round(CASE WHEN n IS NOT NULL THEN mean WHEN how = 'previous' THEN v0 WHEN how = 'linear' THEN v0 + (v1 - v0) * ((bucket - b0) / (b1 - b0)) ELSE try_cast(how AS DOUBLE) END + {OFF_TIES}, 6) AS value
         FROM around WHERE n IS NOT NULL OR how <> 'none'""",
         "p6_found": "SELECT measurement, host FROM readings WHERE host IS NOT NULL GROUP BY measurement, host HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM readings)",
+        "p6_log_keys": f"SELECT key, count(*) AS n, min(logged_at) AS first_time, max(logged_at) AS last_time FROM (SELECT {KEY_SQL} AS key, logged_at FROM series_log) GROUP BY key",
         "p6_series": f"""SELECT measurement, host, count(*) AS n, count(v) AS n_values, round(sum(v), 4) AS total, round(avg(v) + {OFF_TIES}, 6) AS mean, round(stddev_samp(v), 4) AS deviation, min(v) AS least, max(v) AS most,
             min(time) AS first_time, max(time) AS last_time, (min(CASE WHEN v IS NOT NULL AND time IS NOT NULL THEN {{'t': time, 'v': v}} END)).v AS first_value, (max(CASE WHEN v IS NOT NULL AND time IS NOT NULL THEN {{'t': time, 'v': v}} END)).v AS last_value
             FROM (SELECT *, CASE WHEN NOT isnan(usage) THEN usage END AS v FROM readings) GROUP BY measurement, host""",
