@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series_keys import canonical_key
+from ..plans.data_queries import KEY_SQL
 from .distinct import distinct_counts, sketch
 from .encoding import encode_texts
 from .membership import audit, seen_before
@@ -72,5 +73,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_series_counts, p1_sketches, p1_measurement_counts, p4_found, p4_seen, p4_audit, p7_ids, p8_containers, p8_bounds, p9_found, p9_spans, p9_shared)}
 
 
+_SEEN = f"""WITH keys AS (
+  SELECT entry_id, {KEY_SQL} AS key FROM series_log UNION ALL SELECT -1, {KEY_SQL} FROM series_segments
+), firsts AS (
+  SELECT key, min(entry_id) AS first FROM keys WHERE key IS NOT NULL GROUP BY key
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"{_SEEN} SELECT entry_id FROM keys JOIN firsts USING (key) WHERE entry_id > first",
+        "p4_seen": f"{_SEEN} SELECT entry_id, entry_id > first AS seen FROM keys LEFT JOIN firsts USING (key) WHERE entry_id >= 0",
+    }
