@@ -95,11 +95,12 @@ class Catalog:
         return next(p.name for p in self.databases[database] if p.is_default)
 
     # -- measurements ------------------------------------------------------------
-    def add(self, name: str, frame: DataFrame, time: str, tags: list[str], fields: list[str] | None = None, database: str | None = None, policy: str | None = None, nanos: bool = False) -> Measurement:
+    def add(self, name: str, frame: DataFrame, time: str, tags: list[str], fields: list[str] | None = None, database: str | None = None, policy: str | None = None, nanos: bool = False, finite: bool = False) -> Measurement:
         """Binds a DataFrame: columns are renamed and cast by their role, which is kept in their metadata.
 
         Without ``fields``, every other column with a type of the language is one.
-        A NaN in a float field is no value and becomes null.
+        A NaN in a float field is no value and becomes null; ``finite`` says that
+        there is none, so that conditions on fields reach the scan.
         """
         database = database or self.database
         self.create_database(database)
@@ -116,7 +117,7 @@ class Catalog:
             if typed[c] is None:
                 raise AnalysisError(f"field {c} has no type of the language")
             v = q(c).cast(SPARK_TYPES[typed[c]])
-            if typed[c] == "float":
+            if typed[c] == "float" and not finite:
                 v = F.when(~F.isnan(v), v)
             out.append(v.alias(c, metadata={"role": "field"}))
         made = Measurement(name, frame.select(*out), list(tags), typed, database, policy, nanos)

@@ -21,9 +21,9 @@ def engine(spark: SparkSession, folder: str) -> Engine:
     """An engine with the star schema's measurements."""
     e = Engine(spark, now_ns=NOW_NS)
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
-    e.catalog.add("events", read("events"), "ts", ["event_type", "user_id"])
-    e.catalog.add("lineitem", read("lineitem"), "l_shipdate", ["l_returnflag", "l_linestatus"])
-    e.catalog.add("orders", read("orders"), "o_orderdate", ["o_orderstatus", "o_orderpriority"])
+    e.catalog.add("events", read("events"), "ts", ["event_type", "user_id"], finite=True)
+    e.catalog.add("lineitem", read("lineitem"), "l_shipdate", ["l_returnflag", "l_linestatus"], finite=True)
+    e.catalog.add("orders", read("orders"), "o_orderdate", ["o_orderstatus", "o_orderpriority"], finite=True)
     readings = read("readings").where("time is not null")
     e.catalog.add("readings", readings, "time", ["measurement", "host", "region"], ["usage", "n", "ok", "note", "u"])
     return e

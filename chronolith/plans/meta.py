@@ -137,7 +137,7 @@ class MetaPlanner:
                 left = m.frame.where(F.lit(False))
             else:
                 gone = Expressions(Frame(m.frame, m.tags, dict(m.fields), True, m.nanos), self.now_ns, None).condition(s.where.condition)
-                left = m.frame.where(~gone)
+                left = m.frame.where(~F.coalesce(gone, F.lit(False)))
             self.catalog.replace_frame(m, left)
         return self.nothing()
 

@@ -137,16 +137,19 @@ class Expressions:
 
     # -- conditions ----------------------------------------------------------------
     def condition(self, node: A.Node) -> Column:
-        """A condition that is never null."""
+        """A condition; null means false, as in a filter (the language has no NOT).
+
+        Plain comparisons are left bare, so that they reach the scan.
+        """
         if isinstance(node, A.Group):
             return self.condition(node.condition)
         if isinstance(node, A.Operand):
             v = self.value(node)
-            return F.coalesce(v.column, F.lit(False)) if v.kind == "boolean" else F.lit(False)
+            return v.column if v.kind == "boolean" else F.lit(False)
         if node.op in ("AND", "OR"):
             a, b = self.condition(node.left), self.condition(node.right)
             return a & b if node.op == "AND" else a | b
-        return F.coalesce(self.comparison(node), F.lit(False))
+        return self.comparison(node)
 
     def comparison(self, node: A.Condition) -> Column:
         if self._is_time(node.left) or self._is_time(node.right):
@@ -166,6 +169,10 @@ class Expressions:
         fits = (left.kind in texts and right.kind in texts) or (left.kind in NUMERIC and right.kind in NUMERIC) or left.kind == right.kind == "boolean"
         if not fits:
             return F.lit(False)
+        if left.kind == "tag" and isinstance(right.constant, str) and node.op in ("=", "!="):
+            # a null tag is ''
+            bare = left.column == right.column if node.op == "=" else left.column != right.column
+            return bare | left.column.isNull() if (right.constant == "") == (node.op == "=") else bare
         return {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[node.op]
 
     @staticmethod
@@ -440,6 +447,8 @@ class SelectPlanner:
         else:
             out = self._raw(frame, fields, keys, series, zone)
         out.tags, out.series = group_tags, series
+        head = [c for c in ("name", "time") if (c == "name" and out.named) or (c == "time" and out.time)]
+        out.df = out.df.select(*[q(c) for c in head + [c for c in out.df.columns if c not in head]])
         return self._limits(out, s)
 
     @staticmethod
