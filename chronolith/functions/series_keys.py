@@ -43,8 +43,9 @@ def canonical_key(key: Column | str) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    c = F.replace(F.replace(c, F.lit(_COMMA), F.lit(",")), F.lit(_EQUALS), F.lit("="))
-    return F.replace(c, F.lit(_MARK * 2), F.lit(_MARK))
+    """What the marks stand for; a doubled mark is a mark."""
+    parts = F.transform(F.split(c, _MARK * 2), lambda p: F.replace(F.replace(p, F.lit(_COMMA), F.lit(",")), F.lit(_EQUALS), F.lit("=")))
+    return F.array_join(parts, _MARK)
 
 
 def key_measurement(key: Column | str) -> Column:

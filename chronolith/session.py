@@ -35,3 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
+
+
+def parts_for(df, bytes_each: int, least: int = 12) -> int:
+    """How many partitions of about ``bytes_each`` a table's input makes, by the planner's estimate.
+
+    A table whose size nobody knows gets as many as a shuffle has.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // bytes_each))
