@@ -13,6 +13,7 @@ most rows thus sends a row per task.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series_keys import canonical_key
+from ..session import parts_for
 
 SLOTS = 4
 #: Bits of a fingerprint: a lookup is wrong at a rate of at most 2 * SLOTS * generations / 2**bits.
@@ -123,10 +125,10 @@ class CuckooTable:
         self.bits = bits
         self.generations = [_Generation(buckets, bits)]
         # entries that moved out of a saturated generation: they belong to its buckets
-        self.spilled: dict[int, set[tuple[int, int]]] = {}
+        self.spilled: dict[int, Counter] = {}
 
     def __len__(self) -> int:
-        return sum(g.used for g in self.generations) + sum(map(len, self.spilled.values()))
+        return sum(g.used for g in self.generations) + sum(c.total() for c in self.spilled.values())
 
     @property
     def wrong_rate(self) -> float:
@@ -140,7 +142,7 @@ class CuckooTable:
             if self.spilled.get(k):
                 bucket, mark = g.place(hashes)
                 for b in (bucket, g.other(bucket, mark)):
-                    out |= np.fromiter(((x, y) in self.spilled[k] for x, y in zip(b.tolist(), mark.tolist())), bool, len(b))
+                    out |= np.fromiter((self.spilled[k][x, y] > 0 for x, y in zip(b.tolist(), mark.tolist())), bool, len(b))
         return out
 
     def add(self, hashes: np.ndarray) -> None:
@@ -152,7 +154,7 @@ class CuckooTable:
                 continue
             back = g.add(hashes[:room])
             if back is not None:
-                self.spilled.setdefault(len(self.generations) - 1, set()).update(zip(back[0].tolist(), back[1].tolist()))
+                self.spilled.setdefault(len(self.generations) - 1, Counter()).update(zip(back[0].tolist(), back[1].tolist()))
                 self.generations.append(_Generation(2 * g.buckets, self.bits))
             hashes = hashes[room:]
 
@@ -176,9 +178,11 @@ class CuckooTable:
                     out[i] = True
                     break
                 bucket, mark = g.place(np.array([h], np.uint64))
-                pairs = {(int(b[0]), int(mark[0])) for b in (bucket, g.other(bucket, mark))} & self.spilled.get(k, set())
-                if pairs:
-                    self.spilled[k].discard(pairs.pop())
+                spilled = self.spilled.get(k, Counter())
+                pair = next((p for p in ((int(b[0]), int(mark[0])) for b in (bucket, g.other(bucket, mark))) if spilled[p]), None)
+                if pair:
+                    spilled[pair] -= 1
+                    spilled += Counter()
                     out[i] = True
                     break
         return out
@@ -258,8 +262,7 @@ def seen_before(segments: DataFrame, log: DataFrame, bits: int = FINGERPRINT_BIT
         log.select(F.lit(1).alias("side"), F.col("entry_id").cast("long").alias("id"), F.col("series_key").cast("string").alias("key"))
     )
     hashed = both.select("side", "id", F.when(F.col("key").isNotNull(), F.xxhash64(canonical_key("key"))).alias("hash"))
-    size = int(str(both._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(12, -(-size // PARTITION_BYTES)) if size < 1 << 50 else 4096
+    parts = parts_for(both, PARTITION_BYTES)
     sent = hashed.mapInArrow(_combine, _SENT)
     # what is answered goes anywhere, evenly
     placed = sent.repartition(parts, F.coalesce("hash", F.xxhash64("id"))).sortWithinPartitions("side", "id")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import parts_for
 from .encoding import text_chunks
 
 MIN_LENGTH = 200
@@ -123,12 +124,6 @@ class _Windows:
         return np.concatenate(owner), np.concatenate(place)
 
 
-def _shards(texts: DataFrame) -> int:
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # A plan of unknown size claims to be huge.
-    return max(12, -(-size // SHARD_BYTES)) if size < 1 << 50 else 4096
-
-
 def _pack(texts: DataFrame, period: int, residues: tuple[int, ...], width: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +272,7 @@ def shared_spans(documents: DataFrame, min_length: int = MIN_LENGTH, order: int
     if width < 1:
         raise ValueError("the period is longer than min_length")
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.char_length("text") >= min_length))
-    shards = _shards(own)
+    shards = parts_for(own, SHARD_BYTES)
     flags = _pack(own, period, residues, width, shards).groupBy("shard").applyInArrow(_repeated, "doc_id long, shard int, hashes binary")
     reps = text_classes(documents, min_length).select(F.col("rep_id").alias("doc_id")).distinct()
     flags = flags.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "hashes")).alias("flags")).join(reps, "doc_id", "left_semi")
