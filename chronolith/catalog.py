@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,7 +73,7 @@ class Catalog:
     spark: SparkSession
     database: str = "main"
     databases: dict[str, list[Policy]] = field(default_factory=dict)
-    measurements: dict[tuple[str, str, str], Measurement] = field(default_factory=dict)
+    measurements: dict[tuple[str, str, str], Measurement | Callable[[], Measurement]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.databases.setdefault(self.database, [Policy(DEFAULT_POLICY)])
@@ -124,6 +125,13 @@ class Catalog:
         self.measurements[database, policy, name] = made
         return made
 
+    def add_later(self, name: str, load: Callable[[], DataFrame], time: str, tags: list[str], database: str | None = None, policy: str | None = None, **more) -> None:
+        """As ``add``, but the DataFrame is only made when a statement first needs the measurement."""
+        database = database or self.database
+        self.create_database(database)
+        policy = policy or self.default_policy(database)
+        self.measurements[database, policy, name] = lambda: self.add(name, load(), time, tags, database=database, policy=policy, **more)
+
     def replace_frame(self, m: Measurement, frame: DataFrame) -> None:
         self.measurements[m.database, m.policy, m.name] = replace(m, frame=frame)
 
@@ -137,9 +145,9 @@ class Catalog:
         if database != "*" and database not in self.databases:
             raise AnalysisError(f"database not found: {database}")
         out = []
-        for (db, rp, n), m in self.measurements.items():
+        for (db, rp, n), m in list(self.measurements.items()):
             if database not in ("*", db) or (policy != "*" and rp != (policy or self.default_policy(db))):
                 continue
             if (name is None and regex is None) or n == name or (regex is not None and re.search(regex, n)):
-                out.append(m)
+                out.append(m if isinstance(m, Measurement) else m())
         return sorted(out, key=lambda m: (m.name, m.database, m.policy))

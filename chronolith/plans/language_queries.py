@@ -20,12 +20,14 @@ OFF_TIES = 3e-8
 def engine(spark: SparkSession, folder: str) -> Engine:
     """An engine with the star schema's measurements."""
     e = Engine(spark, now_ns=NOW_NS)
-    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
-    e.catalog.add("events", read("events"), "ts", ["event_type", "user_id"], finite=True)
-    e.catalog.add("lineitem", read("lineitem"), "l_shipdate", ["l_returnflag", "l_linestatus"], finite=True)
-    e.catalog.add("orders", read("orders"), "o_orderdate", ["o_orderstatus", "o_orderpriority"], finite=True)
-    readings = read("readings").where("time is not null")
-    e.catalog.add("readings", readings, "time", ["measurement", "host", "region"], ["usage", "n", "ok", "note", "u"])
+
+    def bind(name: str, time: str, tags: list[str], **more) -> None:
+        e.catalog.add_later(name, lambda: spark.read.parquet(f"{folder}/{name}.parquet"), time, tags, **more)
+
+    bind("events", "ts", ["event_type", "user_id"], finite=True)
+    bind("lineitem", "l_shipdate", ["l_returnflag", "l_linestatus"], finite=True)
+    bind("orders", "o_orderdate", ["o_orderstatus", "o_orderpriority"], finite=True)
+    bind("readings", "time", ["measurement", "host", "region"], fields=["usage", "n", "ok", "note", "u"])
     return e
 
 
@@ -72,7 +74,7 @@ QUERIES: dict[str, Query] = {
     "where_not_regex": Query("SELECT value, event_type FROM events WHERE event_type !~ /^c/", "SELECT ts AS time, value, event_type FROM events WHERE NOT regexp_matches(event_type, '^c')"),
     "where_not_equal": Query("SELECT value FROM events WHERE event_type <> 'click' AND value != 0", "SELECT ts AS time, value FROM events WHERE event_type <> 'click' AND value <> 0"),
     "where_typed": Query("SELECT value FROM events WHERE event_id::integer = 5 OR value::string = 'x' OR event_type::tag = 'error'", "SELECT ts AS time, value FROM events WHERE event_id = 5 OR event_type = 'error'"),
-    "where_null_tag": Query("SELECT usage FROM readings WHERE region = ''", "SELECT time, CASE WHEN NOT isnan(usage) THEN usage END AS usage FROM readings WHERE time IS NOT NULL AND coalesce(region, '') = '' AND usage IS NOT NULL AND NOT isnan(usage)"),
+    "where_null_tag": Query("SELECT usage FROM readings WHERE region = ''", "SELECT time, CASE WHEN NOT isnan(usage) THEN usage END AS usage FROM readings WHERE coalesce(region, '') = '' AND usage IS NOT NULL AND NOT isnan(usage)"),
     "bind_parameters": Query("SELECT value FROM events WHERE event_type = $kind AND value > $\"least value\"", "SELECT ts AS time, value FROM events WHERE event_type = 'view' AND value > 30.5", params={"kind": "view", "least value": 30.5}),
     "arith_div_zero": Query("SELECT value / (event_id % 2) AS x, (value + 1) * 2 - event_id AS y, -value AS z, 10 / 4 * 1.0 AS c FROM events", "SELECT ts AS time, CASE WHEN event_id % 2 = 0 THEN 0 ELSE value END AS x, (value + 1) * 2 - event_id AS y, -value AS z, 2.0::DOUBLE AS c FROM events", ["x", "y"]),
     "bitwise": Query("SELECT event_id & 7 AS a, event_id | 8 AS o, event_id ^ 5 AS x FROM events", "SELECT ts AS time, event_id & 7 AS a, event_id | 8 AS o, xor(event_id, 5) AS x FROM events"),
