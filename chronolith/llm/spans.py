@@ -127,8 +127,10 @@ class _Windows:
 def _pack(texts: DataFrame, period: int, residues: tuple[int, ...], width: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # copies within a batch are packed once
-            once = {t: i for i, t in zip(reversed(batch.column(0).to_pylist()), reversed(batch.column(1).to_pylist()))}
+            # copies within a batch are packed once, under their least id: a class's representative is never left out
+            once: dict[str, int] = {}
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                once[t] = min(i, once.get(t, i))
             texts, ids = list(once), np.array(list(once.values()), np.int64)
             for a, b in text_chunks(texts):
                 w = _Windows(texts[a:b])

@@ -253,6 +253,17 @@ def test_shared_pairs_spans_and_parts(spark):
     assert parts[101]["rep_id"] == 100 and parts[101]["n_copies"] == 2 and parts[101]["n_links"] == 4 and parts[110]["n_chars"] is None
 
 
+def test_most_rows_are_copies(spark):
+    """A third of all rows is one text, the representative behind its copies; another text shares a part of it."""
+    rng = random.Random(7)
+    base, other = ("".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(2))
+    rows = [(i, base) for i in range(40, 0, -1)] + [(50, other[:300] + base[100:400]), (51, other + "!")] + [(i, None) for i in range(60, 140)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).repartition(parts) if parts > 1 else spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        got = [tuple(r) for r in shared_pairs(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+
+
 def test_other_lengths(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
