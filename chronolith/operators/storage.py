@@ -149,3 +149,33 @@ def rewrite(spark, points: DataFrame, path: str, tags: list[str]) -> None:
     if not fs.rename(new, p(path)):
         raise OSError(f"can't move {path}.__new")
     fs.delete(old, True)
+
+
+#: Partitions of series ids; an id tells its partition.
+SERIES_PARTITIONS = 8
+#: Ranges of hashes that number their new series apart from each other.
+_RANGES = 1 << 14
+
+
+def create_series(existing: DataFrame, candidates: DataFrame, key: str = "series_key") -> DataFrame:
+    """(key, series_id, partition_id, is_new) of every different candidate: its id in ``existing``, or a new one.
+
+    ``existing`` is (key, series_id); of a key with several ids the least
+    counts.  Ids of partition p are p + 1, p + 9, p + 17, …; new ones follow the
+    greatest.  They are numbered within ranges of the key's hash, whose sizes
+    are added up first, so no task sees all new series.  Null keys are left out.
+    """
+    known = existing.where(q(key).isNotNull()).groupBy(q(key).alias("key")).agg(F.min("series_id").alias("series_id"))
+    wanted = candidates.select(q(key).alias("key")).where("key is not null").distinct()
+    met = wanted.join(known, "key", "left")
+    hashed = F.xxhash64("key")
+    new = met.where("series_id is null").select("key", F.pmod(hashed, F.lit(SERIES_PARTITIONS)).cast("int").alias("p"), F.pmod(F.shiftright(hashed, 8), F.lit(_RANGES)).alias("r"))
+    sizes = new.groupBy("p", "r").agg(F.count("*").alias("n"))
+    before = sizes.select("p", "r", F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    top = existing.groupBy(F.pmod(F.col("series_id") - 1, F.lit(SERIES_PARTITIONS)).cast("int").alias("p")).agg(F.max("series_id").alias("top"))
+    numbered = new.withColumn("k", F.row_number().over(Window.partitionBy("p", "r").orderBy("key"))).join(before, ["p", "r"]).join(top, "p", "left")
+    first = F.coalesce("top", F.col("p") + 1 - SERIES_PARTITIONS)
+    made = numbered.select(F.col("key"), (first + SERIES_PARTITIONS * (F.col("before") + F.col("k"))).cast("long").alias("series_id"), F.lit(True).alias("is_new"))
+    old = met.where("series_id is not null").select("key", "series_id", F.lit(False).alias("is_new"))
+    out = old.unionByName(made)
+    return out.select(F.col("key").alias(key), "series_id", F.pmod(F.col("series_id") - 1, F.lit(SERIES_PARTITIONS)).cast("int").alias("partition_id"), "is_new")

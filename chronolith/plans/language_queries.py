@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..functions.series_keys import canonical_key
 from ..operators import storage
 
 #: The current time of these queries: 2024-01-31.
@@ -206,6 +207,13 @@ def known_series(spark: SparkSession, folder: str) -> DataFrame:
     return storage.known_series(storage.series(e.where("event_type = 'view'"), ["user_id"]), e.where("event_type = 'click'"), ["user_id"], missing=True)
 
 
+def create_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the log's series: those they have, or new ones."""
+    key = canonical_key("series_key").alias("series_key")
+    old = spark.read.parquet(f"{folder}/series_segments.parquet").select(key, "series_id")
+    return storage.create_series(old, spark.read.parquet(f"{folder}/series_log.parquet").select(key))
+
+
 def block_pruning(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks whose range meets a range of time."""
     b = spark.read.parquet(f"{folder}/index_entries.parquet")
@@ -233,7 +241,7 @@ def explain(spark: SparkSession, folder: str) -> DataFrame:
     return engine(spark, folder).sql("EXPLAIN VERBOSE SELECT mean(value) FROM events GROUP BY TIME(1d)")
 
 
-_DIRECT = (delete_range, drop_and_create, dedupe_last_write, merge_files, pivot_fields, align_fields, tombstones, delete_keys, series_listing, known_series, block_pruning, time_range, seek, approx_series_cardinality, sample, explain)
+_DIRECT = (delete_range, drop_and_create, dedupe_last_write, merge_files, pivot_fields, align_fields, tombstones, delete_keys, series_listing, known_series, create_series, block_pruning, time_range, seek, approx_series_cardinality, sample, explain)
 
 _DIRECT_SQL = {
     "delete_range": f"SELECT ts AS time, event_id, value FROM events WHERE NOT ({_SQL_DAY} AND event_type = 'click') AND user_id <> 7",

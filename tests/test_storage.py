@@ -96,3 +96,39 @@ def test_settings(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert parts_for(spark.createDataFrame([(1,)], "a int"), 1 << 20, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert parts_for(spark.range(1000), 1000, 2) == 8
+
+
+def test_new_series(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 10), ("b", 26), (None, 3)], "series_key string, series_id bigint")
+    new = spark.createDataFrame([("a",), ("b",), (None,), ("a",)] + [(f"k{i % 400}",) for i in range(1000)], "series_key string")
+    got = S.create_series(old, new).collect()
+    ids = {r["series_key"]: r["series_id"] for r in got}
+    assert len(got) == len(ids) == 402 and len(set(ids.values())) == 402 and (ids["a"], ids["b"]) == (1, 10)
+    for p in range(8):
+        made = sorted(r["series_id"] for r in got if r["partition_id"] == p and r["is_new"])
+        start = {0: 1, 1: 26, 2: 3}.get(p, p + 1 - 8)
+        assert made == [start + 8 * (k + 1) for k in range(len(made))]
+    assert S.create_series(old.limit(0), new.limit(0)).collect() == []
+
+
+def test_tombstone_log(spark, tmp_path):
+    from chronolith.operators.tombstones import TombstoneLog
+
+    log = TombstoneLog(spark, str(tmp_path / "log"))
+    assert not log.has_tombstones() and log.walk().collect() == [] and log.stats() == (0, 0, 0)
+    log.add_range(["a", "b"], 3, 5)
+    log.add_range(["a"], 5, 3)
+    assert log.walk().collect() == []
+    log.commit()
+    log.add(["c"])
+    log.rollback()
+    log.add(["d"])
+    log.commit()
+    log.commit()
+    assert rows(log.walk()) == [("a", 3, 5), ("b", 3, 5), ("d", -(1 << 63), (1 << 63) - 1)]
+    n, size, when = log.stats()
+    assert n == 2 and size > 0 and when > 0
+    points = spark.createDataFrame([("a", 4), ("a", 6), ("d", 0)], "key string, time bigint")
+    assert rows(S.apply_tombstones(points, log.walk(), ["key"])) == [("a", 6)]
+    log.delete()
+    assert not log.has_tombstones()
