@@ -127,6 +127,8 @@ def decode_times(data: bytes) -> list[int]:
     kind, scale = data[0] >> 4, 10 ** (data[0] & 15)
     if len(data) < 9:
         raise CodecError("timestamps are cut off")
+    if kind == RAW and len(data) % 8 != 1:
+        raise CodecError("timestamps are cut off")
     if kind == REPEATED:
         step, at = get_varint(data, 9)
         count, _ = get_varint(data, at)
@@ -177,6 +179,8 @@ def decode_integers(data: bytes) -> list[int]:
     kind = data[0] >> 4
     if len(data) < 9:
         raise CodecError("integers are cut off")
+    if kind == RAW and len(data) % 8 != 1:
+        raise CodecError("integers are cut off")
     if kind == REPEATED:
         step, at = get_varint(data, 9)
         count, _ = get_varint(data, at)
