@@ -111,6 +111,11 @@ QUERIES: dict[str, Query] = {
     "bottom": Query("SELECT bottom(value, event_type, 4) FROM events", "SELECT ts AS time, value AS bottom, event_type FROM events ORDER BY value, ts LIMIT 4"),
     "difference": Query("SELECT difference(value) AS d, non_negative_difference(value) AS n, elapsed(value, 1s) AS e FROM events GROUP BY event_type", f"SELECT * FROM (SELECT ts AS time, event_type, value - lag(value) OVER w AS d, CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w END AS n, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 1000000 AS e FROM events {_LINE}) WHERE d IS NOT NULL", ["d", "n"]),
     "derivative": Query("SELECT derivative(value, 1h) AS d FROM events GROUP BY event_type", f"SELECT * FROM (SELECT ts AS time, event_type, (value - lag(value) OVER w) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3600000000) AS d FROM events {_LINE}) WHERE d IS NOT NULL", ["d"]),
+    "transforms_of_one_series": Query(
+        "SELECT difference(value) AS d, derivative(value, 1m) AS r, elapsed(value, 1s) AS e, cumulative_sum(event_id) AS c FROM events",
+        "SELECT ts AS time, value - lag(value) OVER w AS d, (value - lag(value) OVER w) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60000000) AS r, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 1000000 AS e, sum(event_id) OVER w::BIGINT AS c FROM events WINDOW w AS (ORDER BY ts)",
+        ["d", "r"],
+    ),
     "derivative_of_mean": Query("SELECT derivative(mean(value), 1d) AS d FROM events GROUP BY TIME(1d) FILL(none)", f"SELECT * FROM (SELECT time, m - lag(m) OVER (ORDER BY time) AS d FROM (SELECT {_bucket('1 day')} AS time, avg(value) AS m FROM events GROUP BY ALL)) WHERE d IS NOT NULL", ["d"]),
     "moving_average": Query("SELECT moving_average(value, 5) AS m, cumulative_sum(event_id) AS c FROM events GROUP BY event_type", "SELECT ts AS time, event_type, CASE WHEN count(*) OVER f = 5 THEN avg(value) OVER f END AS m, sum(event_id) OVER (PARTITION BY event_type ORDER BY ts)::BIGINT AS c FROM events WINDOW f AS (PARTITION BY event_type ORDER BY ts ROWS 4 PRECEDING)", ["m"]),
     "integral": Query("SELECT integral(value, 1h) FROM events GROUP BY event_type", f"SELECT event_type, sum(coalesce(a, 0)) AS integral FROM (SELECT event_type, (value + lag(value) OVER w) / 2 * ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3600000000) AS a FROM events {_LINE}) GROUP BY event_type", ["integral"]),

@@ -23,6 +23,8 @@ from ..lang.visit import walk
 from .bind import constant_ns, fold_numbers, reduce
 
 NUMERIC = ("float", "integer", "unsigned")
+#: Time that a task works on at once where all points are one series: an hour.
+STRETCH_NS = 3_600 * 10**9
 _FLIP = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "=", "!=": "!="}
 
 
@@ -707,8 +709,13 @@ class SelectPlanner:
                 step += 1
                 base = own.df.withColumn(src, v.column)
                 unit = 10**9 if f.nanos else 10**6
-                got = fn.build(F.col(src), ticks_of(F.col("time"), f.nanos), [self._constant(a) for a in e.args[1:]], line, unit)
-                own = Frame(base.withColumn(name, got).drop(src), own.tags, {**own.fields, name: fn.result(v.kind)}, True, f.nanos, f.named)
+                args = [F.col(src), ticks_of(F.col("time"), f.nanos), [self._constant(a) for a in e.args[1:]]]
+                if raw and not series and fn.carry:
+                    base = self._stretches(base, src, fn.carry, f.nanos)
+                    got = fn.build(*args, Window.partitionBy("__stretch").orderBy("time"), unit, F.col("__before"))
+                else:
+                    got = fn.build(*args, line, unit)
+                own = Frame(base.withColumn(name, got).drop(src, "__stretch", "__before"), own.tags, {**own.fields, name: fn.result(v.kind)}, True, f.nanos, f.named)
                 needed.append(name)
                 return A.VarRef(name)
 
@@ -726,6 +733,22 @@ class SelectPlanner:
             df = df.where(fold(lambda a, b: a | b, [q(n).isNotNull() for n in result]))
         return Frame(df, [], result, time, f.nanos, f.named)
 
+    @staticmethod
+    def _stretches(df: DataFrame, value: str, carry: str, nanos: bool) -> DataFrame:
+        """Points with their stretch of time and what is before it, so that one series is worked on in many tasks.
+
+        Only a row a stretch is sorted in one task.
+        """
+        t = ticks_of(F.col("time"), nanos)
+        size = STRETCH_NS if nanos else STRETCH_NS // 1000
+        df = df.withColumn("__stretch", t - F.pmod(t, F.lit(size)))
+        point = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v")))
+        ends = df.groupBy("__stretch").agg((F.max(point) if carry == "last" else F.sum(value)).alias("end"))
+        earlier = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.last("end", ignorenulls=True).over(earlier) if carry == "last" else F.sum("end").over(earlier)
+        ends = ends.select(F.col("__stretch").alias("__s"), before.alias("__before"))
+        return df.join(ends, F.col("__stretch").eqNullSafe(F.col("__s"))).drop("__s")
+
     def _limits(self, f: Frame, s: A.Select) -> Frame:
         df, series = f.df, f.series
         down = bool(s.order_by and s.order_by.descending)
