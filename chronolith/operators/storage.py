@@ -155,17 +155,25 @@ def rewrite(spark, points: DataFrame, path: str, tags: list[str]) -> None:
 SERIES_PARTITIONS = 8
 #: Ranges of hashes that number their new series apart from each other.
 _RANGES = 1 << 14
+# The flags of entries in series segments.
+INSERTED, DELETED = 1, 2
 
 
-def create_series(existing: DataFrame, candidates: DataFrame, key: str = "series_key") -> DataFrame:
-    """(key, series_id, partition_id, is_new) of every different candidate: its id in ``existing``, or a new one.
+def create_series(existing: DataFrame, candidates: DataFrame, key: str = "series_key", flag: str | None = None) -> DataFrame:
+    """(key, series_id, partition_id, is_new) of every different candidate: its live id in ``existing``, or a new one.
 
-    ``existing`` is (key, series_id); of a key with several ids the least
-    counts.  Ids of partition p are p + 1, p + 9, p + 17, …; new ones follow the
-    greatest.  They are numbered within ranges of the key's hash, whose sizes
-    are added up first, so no task sees all new series.  Null keys are left out.
+    ``existing`` is (key, series_id) and perhaps a ``flag``, without which all
+    ids are live.  With it those are live that an entry of flag 1 has and none
+    of flag 2: a deleted series that comes back gets a new id.  Of a key with
+    several live ids the least counts.  Ids of partition p are p + 1, p + 9,
+    p + 17, …; new ones follow the greatest, deleted ones included.  They are
+    numbered within ranges of the key's hash, whose sizes are added up first, so
+    no task sees all new series.  Null keys are left out.
     """
-    known = existing.where(q(key).isNotNull()).groupBy(q(key).alias("key")).agg(F.min("series_id").alias("series_id"))
+    live = existing
+    if flag:
+        live = existing.where(q(flag) == INSERTED).join(existing.where(q(flag) == DELETED).select("series_id"), "series_id", "left_anti")
+    known = live.where(q(key).isNotNull()).groupBy(q(key).alias("key")).agg(F.min("series_id").alias("series_id"))
     wanted = candidates.select(q(key).alias("key")).where("key is not null").distinct()
     met = wanted.join(known, "key", "left")
     hashed = F.xxhash64("key")

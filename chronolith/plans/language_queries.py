@@ -213,10 +213,10 @@ def known_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def create_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids of the log's series: those they have, or new ones."""
+    """Ids of the log's series: the live ones they have, or new ones."""
     key = canonical_key("series_key").alias("series_key")
-    old = spark.read.parquet(f"{folder}/series_segments.parquet").select(key, "series_id")
-    return storage.create_series(old, spark.read.parquet(f"{folder}/series_log.parquet").select(key))
+    old = spark.read.parquet(f"{folder}/series_segments.parquet").select(key, "series_id", "flag")
+    return storage.create_series(old, spark.read.parquet(f"{folder}/series_log.parquet").select(key), flag="flag")
 
 
 def block_pruning(spark: SparkSession, folder: str) -> DataFrame:

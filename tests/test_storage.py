@@ -111,6 +111,31 @@ def test_new_series(spark):
     assert S.create_series(old.limit(0), new.limit(0)).collect() == []
 
 
+def test_deleted_series_get_new_ids(spark, tmp_path):
+    """The query against plain Python: deleted, re-created and live keys, in several spellings."""
+    from chronolith.plans.language_queries import create_series
+
+    rng = random.Random(5)
+    segments = [(i, (i - 1) % 8, rng.choice([1, 1, 2]), f"m,t={rng.randrange(150)}" + rng.choice(["", ",x="])) for i in range(1, 200)]
+    # a log's own form of a deletion: the id again, without the key
+    segments += [(5000, 7, 1, "m,t=gone"), (5000, 7, 2, None), (6001, 0, 2, "m,t=1000"), (6009, 0, 1, "m,t=1000")]
+    log = [f"m,t={i}" for i in range(250)] + ["m,t=gone", "m,x=,t=3", "m,t=1000", None]
+    spark.createDataFrame(segments, "series_id bigint, partition_id int, flag int, series_key string").write.parquet(str(tmp_path / "series_segments.parquet"))
+    spark.createDataFrame([(k,) for k in log], "series_key string").write.parquet(str(tmp_path / "series_log.parquet"))
+    dead, live = {s[0] for s in segments if s[2] == 2}, {}
+    for i, _, f, k in segments:
+        if f == 1 and i not in dead:
+            k = k.replace(",x=", "")
+            live[k] = min(i, live.get(k, i))
+    got = {r["series_key"]: r for r in create_series(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k in log if k and ",x=" not in k}
+    assert {k: r["series_id"] for k, r in got.items() if not r["is_new"]} == {k: live[k] for k in got if k in live}
+    for p in range(8):
+        made = sorted(r["series_id"] for r in got.values() if r["is_new"] and r["partition_id"] == p)
+        top = max(s[0] for s in segments if s[1] == p)
+        assert made == [top + 8 * (k + 1) for k in range(len(made))]
+
+
 def test_tombstone_log(spark, tmp_path):
     from chronolith.operators.tombstones import TombstoneLog
 
