@@ -1,11 +1,12 @@
 """Filling containers of fixed capacity with texts (problem 8).
 
 Partitions are packed by best-fit decreasing, and lower bounds from
-dual-feasible functions certify how few containers each could have.  The
-emptiest containers are then exchanged: a round gathers them from several
-partitions and packs them again, until a round has one partition left or none
-of its partitions has a gap to close.  Each round handles a small part of what
-the one before it had.
+dual-feasible functions certify those that no packing of their own texts could
+better.  The emptiest containers are then exchanged: a round gathers them from
+several partitions and packs them again, until a round has one partition left or
+the bound over all its texts certifies that it has no container too many.  A
+partition that is certified alone still exchanges: with the texts of others it
+may need fewer.  Each round handles a small part of what the one before it had.
 """
 
 from __future__ import annotations
@@ -91,6 +92,7 @@ def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
 
 
 _ITEM = "pack_id long, capacity long, part long, row_no long, doc_id long, piece long, token_from long, n_tokens long, container string"
+_HELD = "pack_id long, capacity long, container string, doc_id long, piece long, token_from long, n_tokens long"
 
 
 def _packer(round_no: int, last: bool):
@@ -106,18 +108,19 @@ def _packer(round_no: int, last: bool):
         count = int(bins.max(initial=-1)) + 1
         fill = np.bincount(bins, weights=sizes, minlength=count)
         goes = np.zeros(count, bool)
+        values, times = np.unique(sizes, return_counts=True)
+        least = min(count, max(1, lower_bound(values, times, capacity)))
         if not last and count:
-            values, times = np.unique(sizes, return_counts=True)
             room = capacity - fill
-            spare = room.sum() >= capacity or lower_bound(values, times, capacity) < count
-            # A certified partition only lends its unfilled containers.
+            spare = room.sum() >= capacity
+            # A partition without room for a container only lends its unfilled ones.
             order = np.argsort(-room, kind="stable")
             upto = np.searchsorted(np.cumsum(room[order]), EXCHANGED * room.sum()) + 1
             goes[order[: min(upto, max(1, count // 2)) if spare else min(upto, max(1, count // 8))]] = True
             goes &= room > 0
         names = np.array([f"{round_no}.{part}.{b}" for b in range(count)], object)
         out = table.set_column(table.schema.get_field_index("container"), "container", pa.array(names[bins], pa.string()))
-        return out.append_column("goes", pa.array(goes[bins], pa.bool_()))
+        return out.append_column("goes", pa.array(goes[bins], pa.bool_())).append_column("least", pa.array(np.full(len(bins), least), pa.int64()))
 
     return pack
 
@@ -146,11 +149,52 @@ def pack_texts(sizes: DataFrame, packs: DataFrame, part_items: int = PART_ITEMS)
     Within an exchange, containers are named round.partition.number, full pieces
     full.row.piece; names are unique for a pack_id.
     """
-    spark = sizes.sparkSession
-    shared_folder(spark)
     capacities = _capacities(packs)
     if not capacities:
-        return spark.createDataFrame([], "pack_id long, capacity long, container string, doc_id long, piece long, token_from long, n_tokens long")
+        return sizes.sparkSession.createDataFrame([], _HELD)
+    out, rounds = _rounds(sizes, capacities, part_items)
+    for packed in rounds:
+        out = out.unionByName(packed.where("not goes").select(*out.columns))
+    return out
+
+
+def partition_bounds(sizes: DataFrame, packs: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+    """(pack_id, capacity, round, part, containers, least, certified, sent): each partition of each round against its own bound.
+
+    ``least`` comes from the dual-feasible functions over what the partition
+    packs, ``certified`` tells that it has no more containers than that, ``sent``
+    how many of them went on to the next round.
+    """
+    capacities = _capacities(packs)
+    if not capacities:
+        return sizes.sparkSession.createDataFrame([], "pack_id long, capacity long, round int, part long, containers long, least long, certified boolean, sent long")
+    found = [
+        packed.groupBy("pack_id", "capacity", F.lit(k).alias("round"), "part").agg(F.count_distinct("container").alias("containers"), F.max("least").alias("least"), F.count_distinct(F.when(F.col("goes"), F.col("container"))).alias("sent"))
+        for k, packed in enumerate(_rounds(sizes, capacities, part_items)[1])
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("pack_id", "capacity", "round", "part", "containers", "least", (F.col("containers") <= F.col("least")).alias("certified"), "sent")
+
+
+def _settled(packed: DataFrame) -> list[int]:
+    """The packs of a round whose containers, taken over all partitions, are as few as any packing of their texts could have."""
+
+    def bound(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        least = lower_bound(table["n_tokens"].to_numpy(), table["count"].to_numpy(), key[1].as_py())
+        return pa.table({"pack_id": pa.array([key[0].as_py()], pa.int64()), "least": pa.array([max(1, least)], pa.int64())})
+
+    bounds = packed.groupBy("pack_id", "capacity", "n_tokens").count().groupBy("pack_id", "capacity").applyInArrow(bound, "pack_id long, least long")
+    have = packed.groupBy("pack_id").agg(F.count_distinct("container").alias("containers"))
+    # packs are at most MOST_PACKS; one without items in this round has nothing to send either
+    met = {r["pack_id"]: r["least"] for r in bounds.groupBy("pack_id").agg(F.sum("least").alias("least")).collect()}
+    return [r["pack_id"] for r in have.collect() if r["containers"] <= met[r["pack_id"]]]
+
+
+def _rounds(sizes: DataFrame, capacities: list[tuple[int, int]], part_items: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The full pieces, and what the partitions of each round packed: items with ``goes`` to the next round and the partition's ``least``."""
+    shared_folder(sizes.sparkSession)
     rows = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).withColumn("row_no", F.monotonically_increasing_id()).checkpoint()
     total = rows.count()
     choices = F.array(*[F.struct(F.lit(p).cast("long").alias("pack_id"), F.lit(c).cast("long").alias("capacity")) for p, c in capacities])
@@ -162,21 +206,21 @@ def pack_texts(sizes: DataFrame, packs: DataFrame, part_items: int = PART_ITEMS)
     rest = each.withColumn("left", F.col("n_tokens") - F.col("whole") * F.col("capacity")).where("left > 0 or whole = 0").select(
         "pack_id", "capacity", F.pmod(F.xxhash64("row_no"), F.lit(parts)).alias("part"), "row_no", "doc_id", F.col("whole").alias("piece"), (F.col("whole") * F.col("capacity")).alias("token_from"), F.col("left").alias("n_tokens"), F.lit(None).cast("string").alias("container")
     )
-    done, round_no = [full], 0
+    rounds, round_no = [], 0
     while True:
         last = parts == 1
-        packed = rest.groupBy("pack_id", "part").applyInArrow(_packer(round_no, last), _ITEM + ", goes boolean")
+        packed = rest.groupBy("pack_id", "part").applyInArrow(_packer(round_no, last), _ITEM + ", goes boolean, least long")
         if not last:
             packed = packed.checkpoint()
-        done.append(packed.where("not goes").select(*full.columns))
+            settled = _settled(packed)
+            packed = packed.withColumn("goes", F.col("goes") & ~F.col("pack_id").isin(settled))
+            last = len(settled) == len({p for p, _ in capacities})
+        rounds.append(packed)
         if last:
             break
         parts, round_no = -(-parts // FAN_IN), round_no + 1
-        rest = packed.where("goes").drop("goes").withColumn("part", F.pmod(F.xxhash64("container", F.lit(round_no)), F.lit(parts)))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        rest = packed.where("goes").drop("goes", "least").withColumn("part", F.pmod(F.xxhash64("container", F.lit(round_no)), F.lit(parts)))
+    return full, rounds
 
 
 def packing_report(sizes: DataFrame, packs: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:

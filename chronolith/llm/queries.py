@@ -12,7 +12,7 @@ from ..plans.data_queries import KEY_SQL
 from .distinct import distinct_counts, sketch
 from .encoding import encode_texts
 from .membership import audit, seen_before
-from .packing import pack_texts, packing_report, token_counts
+from .packing import pack_texts, packing_report, partition_bounds, token_counts
 from .spans import shared_pairs, shared_parts, shared_spans
 
 
@@ -57,6 +57,10 @@ def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return packing_report(token_counts(_table(spark, folder, "documents")), _table(spark, folder, "pack_sizes"))
 
 
+def p8_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return partition_bounds(token_counts(_table(spark, folder, "documents")), _table(spark, folder, "pack_sizes"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_pairs(_table(spark, folder, "documents"))
 
@@ -70,7 +74,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_series_counts, p1_sketches, p1_measurement_counts, p4_found, p4_seen, p4_audit, p7_ids, p8_containers, p8_bounds, p9_found, p9_spans, p9_shared)}
+    return {f.__name__: f for f in (p1_series_counts, p1_sketches, p1_measurement_counts, p4_found, p4_seen, p4_audit, p7_ids, p8_containers, p8_bounds, p8_partitions, p9_found, p9_spans, p9_shared)}
 
 
 _SEEN = f"""WITH keys AS (

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from chronolith.llm.encoding import VOCABULARY, encode_texts
-from chronolith.llm.packing import best_fit_decreasing, lower_bound, pack_texts, packing_report, token_counts
+from chronolith.llm.packing import best_fit_decreasing, lower_bound, pack_texts, packing_report, partition_bounds, token_counts
 from chronolith.llm.prefix_bpe import LiveText, PrefixEncoder, load_ranks
 from chronolith.llm.spans import difference_cover, shared_pairs, shared_parts, shared_spans
 
@@ -172,6 +172,20 @@ def test_packing(spark):
     assert len({r["container"] for r in rows if r["pack_id"] == 1 and not r["container"].startswith("full")}) < alone
 
 
+def test_certified_packings_are_not_exchanged(spark):
+    """Texts just over half the capacity have much room by volume, but the bound says that no packing is better."""
+    df = spark.createDataFrame([(i, 6) for i in range(400)], "doc_id bigint, n_tokens bigint")
+    p = spark.createDataFrame([(1, 10), (2, 13)], "pack_id bigint, capacity_tokens bigint")
+    rounds = partition_bounds(df, p, part_items=100).collect()
+    one = [r for r in rounds if r["pack_id"] == 1]
+    assert len(one) == 4 and all(r["round"] == 0 and r["certified"] and r["sent"] == 0 and r["least"] == r["containers"] for r in one)
+    assert sum(r["containers"] - r["sent"] for r in rounds if r["pack_id"] == 2) == 200
+    rows = pack_texts(df, p, part_items=100).collect()
+    names = {r["container"] for r in rows if r["pack_id"] == 1}
+    assert len(names) == 400 and all(n.startswith("0.") for n in names)
+    assert partition_bounds(df, p.limit(0)).collect() == []
+
+
 def test_packing_of_nothing_and_repeats(spark):
     p = spark.createDataFrame([(1, 10)], "pack_id bigint, capacity_tokens bigint")
     assert pack_texts(spark.createDataFrame([], "doc_id bigint, n_tokens bigint"), p).collect() == []
