@@ -111,17 +111,6 @@ def _holes(observed: DataFrame, carried: list[str]) -> DataFrame:
     return rows.select("*", F.explode(F.sequence("piece", F.least(F.col("stop"), F.col("piece") + far - step), step)).alias("bucket")).drop("piece", "start", "stop")
 
 
-def empty_buckets(readings: DataFrame, statements: DataFrame) -> DataFrame:
-    """(stmt_id, measurement, host, bucket_us): the buckets of each series' grid without a counted reading.
-
-    A grid runs from the bucket of time_from to that of the last microsecond
-    before time_to, or from or to the series' own first or last counted bucket
-    where a bound is null.  A series without a counted reading has no grid.
-    """
-    seen = counted_readings(readings, statements).groupBy(*_SERIES, *_GRID, "bucket").agg(F.count("*").alias("n"))
-    return _holes(seen, []).select(*_SERIES, F.col("bucket").alias("bucket_us"))
-
-
 def _features(t: Column, middle: Column, width: Column) -> list[Column]:
     """1, the trend from -1 to 1 and the waves of the day."""
     angle = F.pmod(t, F.lit(DAY)) * (2 * pi / DAY)
@@ -158,29 +147,50 @@ def fit(observed: DataFrame) -> DataFrame:
     return sums.select(*_SERIES, "middle", "width", "products", "moments").mapInArrow(solve, out + ", weights array<double>")
 
 
-def regular_series(readings: DataFrame, statements: DataFrame) -> DataFrame:
-    """(stmt_id, measurement, host, bucket_us, n, observed, value, model): each series on its statement's grid.
-
-    ``observed`` buckets have the mean of their readings; of readings of one
-    series and time, the one with the greatest file_seq (then ingested_at, then
-    usage) counts.  An empty bucket's ``value`` follows the fill: null, a number,
-    previous (the observed value before), linear (between its neighbours; null
-    at the ends); with none it has no row; an unknown fill gives null.  ``model``
-    is the regression's value, with residuals bridged in empty buckets and held
-    constant beyond the ends.
-    """
+def _modelled(readings: DataFrame, statements: DataFrame) -> DataFrame:
+    """Every bucket of each series' grid, as ``regular_series`` describes them, with the statement's fill; buckets to fill with none too."""
     seen = _observed(counted_readings(readings, statements))
     model = fit(seen)
     met = seen.join(model, _SERIES)
     x = _features(F.col("bucket"), F.col("middle"), F.col("width"))
     predict = reduce(lambda a, b: a + b, [F.col("weights")[i] * c for i, c in enumerate(x)])
     met = met.withColumn("rest", F.col("mean") - predict)
-    full = met.select(*_SERIES, F.col("bucket").alias("bucket_us"), "n", F.lit(True).alias("observed"), F.col("mean").alias("value"), predict.alias("model"))
+    full = met.select(*_SERIES, "fill", F.col("bucket").alias("bucket_us"), "n", F.lit(True).alias("observed"), F.col("mean").alias("value"), predict.alias("model"))
     holes = _holes(met, ["mean", "rest", "middle", "width", "weights"])
     part = (F.col("bucket") - F.col("b_bucket")) / (F.col("a_bucket") - F.col("b_bucket"))
     rest = F.coalesce(F.col("b_rest") + (F.col("a_rest") - F.col("b_rest")) * part, "b_rest", "a_rest")
     holes = holes.withColumns({c: F.coalesce(f"b_{c}", f"a_{c}") for c in ("middle", "width", "weights")})
     linear = F.col("b_mean") + (F.col("a_mean") - F.col("b_mean")) * part
     value = F.when(F.col("fill") == "previous", F.col("b_mean")).when(F.col("fill") == "linear", linear).otherwise(F.col("fill").try_cast("double"))
-    holes = holes.where("fill <> 'none'").select(*_SERIES, F.col("bucket").alias("bucket_us"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("observed"), value.alias("value"), (predict + rest).alias("model"))
+    holes = holes.select(*_SERIES, "fill", F.col("bucket").alias("bucket_us"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("observed"), value.alias("value"), (predict + rest).alias("model"))
     return full.unionByName(holes)
+
+
+def modelled_gaps(readings: DataFrame, statements: DataFrame) -> DataFrame:
+    """(stmt_id, measurement, host, bucket_us, model): the buckets of each series' grid without a counted reading, with the regression's value.
+
+    A grid runs from the bucket of time_from to that of the last microsecond
+    before time_to, or from or to the series' own first or last counted bucket
+    where a bound is null.  A series without a counted reading has no grid.  The
+    fill plays no role.  An empty bucket without a model value is an error.
+    """
+    return _modelled(readings, statements).where("not observed").select(*_SERIES, "bucket_us", F.coalesce("model", F.raise_error(F.lit("an empty bucket has no model value")).cast("double")).alias("model"))
+
+
+def empty_buckets(readings: DataFrame, statements: DataFrame) -> DataFrame:
+    """(stmt_id, measurement, host, bucket_us): the buckets of ``modelled_gaps``, each of which the regression was evaluated for."""
+    return modelled_gaps(readings, statements).where("model is not null").drop("model")
+
+
+def regular_series(readings: DataFrame, statements: DataFrame) -> DataFrame:
+    """(stmt_id, measurement, host, bucket_us, n, observed, value, model): each series on its statement's grid.
+
+    ``observed`` buckets have the mean of their readings; of readings of one
+    series and time, the one with the greatest file_seq (then ingested_at, then
+    usage) counts.  An empty bucket's ``value`` follows the fill: null, a number,
+    previous (the observed value before), linear (between its neighbours; null
+    at the ends); with none it has no row; an unknown fill gives null.  ``model``
+    is the regression's value, with residuals bridged in empty buckets and held
+    constant beyond the ends.
+    """
+    return _modelled(readings, statements).where("observed or fill <> 'none'").drop("fill")

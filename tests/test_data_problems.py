@@ -11,7 +11,7 @@ from chronolith.functions.series_keys import canonical_key, key_measurement, key
 from chronolith.operators.drift import consistent_points, field_changes, field_lifespans
 from chronolith.operators.heavy import heavy_keys, key_statistics
 from chronolith.operators.intervals import SHARD_BITS, decode_runs, encode_runs, periods_and_gaps, union_runs
-from chronolith.operators.regular import duration_us, empty_buckets, regular_series
+from chronolith.operators.regular import duration_us, empty_buckets, modelled_gaps, regular_series
 
 ABSENT = -(1 << 63)
 SHARD = 1 << SHARD_BITS
@@ -227,6 +227,21 @@ def test_model_of_few_readings(spark):
     assert len(got) == 12 and all(x["model"] is not None and np.isfinite(x["model"]) for x in got)
 
 
+@pytest.mark.parametrize("fill", ["fill(linear)", "fill(none)"])
+def test_empty_buckets_come_from_the_model(spark, fill):
+    """Every missing bucket, of any fill, has the regression's value, and its plan has the solve."""
+    value = lambda m: 20 + 0.002 * m + 5 * np.sin(2 * np.pi * m / 1440)
+    minutes = [m for m in range(0, 6 * 1440, 10) if not 2000 < m < 3200]
+    r = spark.createDataFrame([reading("m", "a", m, float(value(m))) for m in minutes], READINGS)
+    s = spark.createDataFrame([(1, "m", "10m", None, fill, None, None)], STATEMENTS)
+    got = {x["bucket_us"]: x["model"] for x in modelled_gaps(r, s).collect()}
+    assert set(got) == {us(m) for m in range(2010, 3200, 10)}
+    assert max(abs(got[us(m)] - value(m)) for m in range(2010, 3200, 10)) < 0.1
+    found = empty_buckets(r, s)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {x["bucket_us"] for x in found.collect()} == set(got) and "MapInArrow" in plan and "SIN(" in plan.upper() and "an empty bucket has no model value" in plan
+
+
 # -- skewed keys -------------------------------------------------------------------------
 
 
