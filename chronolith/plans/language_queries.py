@@ -62,6 +62,20 @@ def _filled(how: str) -> str:
     ) SELECT time, event_type, {how} AS mean FROM around"""
 
 
+def _filled_whole(how: str) -> str:
+    """As ``_filled`` without bounds of time: each series from its own first to its own last bucket."""
+    return f"""WITH b AS (
+        SELECT {_bucket("10 minutes")} AS time, event_type, avg(value) AS v FROM events GROUP BY ALL
+    ), spine AS (
+        SELECT event_type, unnest(generate_series(min(time), max(time), INTERVAL '10 minutes')) AS time FROM b GROUP BY event_type
+    ), laid AS (
+        SELECT s.time, s.event_type, v FROM spine s LEFT JOIN b USING (time, event_type)
+    ), around AS (
+        SELECT *, last_value(v IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN v IS NOT NULL THEN time END IGNORE NULLS) OVER p AS t0, first_value(v IGNORE NULLS) OVER n AS v1, first_value(CASE WHEN v IS NOT NULL THEN time END IGNORE NULLS) OVER n AS t1
+        FROM laid WINDOW p AS (PARTITION BY event_type ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY event_type ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ) SELECT time, event_type, {how} AS mean FROM around"""
+
+
 _LINE = "WINDOW w AS (PARTITION BY event_type ORDER BY ts)"
 
 QUERIES: dict[str, Query] = {
@@ -105,6 +119,12 @@ QUERIES: dict[str, Query] = {
     "fill_value": Query(f"SELECT mean(value) FROM events WHERE {_DAY} GROUP BY TIME(10m), event_type FILL(-1.5)", _filled("coalesce(v, -1.5)"), ["mean"]),
     "fill_previous": Query(f"SELECT mean(value) FROM events WHERE {_DAY} GROUP BY TIME(10m), event_type FILL(previous)", _filled("v0"), ["mean"]),
     "fill_linear": Query(f"SELECT mean(value) FROM events WHERE {_DAY} GROUP BY TIME(10m), event_type FILL(linear)", _filled("coalesce(v, v0 + (v1 - v0) * ((epoch_us(time) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0))))"), ["mean"]),
+    "sum_by_time_whole": Query("SELECT sum(value) FROM events GROUP BY TIME(1h) FILL(none)", f"SELECT {_bucket('1 hour')} AS time, sum(value) AS sum FROM events GROUP BY ALL", ["sum"]),
+    "fill_null_whole": Query("SELECT mean(value) FROM events GROUP BY TIME(10m), event_type", _filled_whole("v"), ["mean"]),
+    "fill_none_whole": Query("SELECT mean(value) FROM events GROUP BY TIME(10m), event_type FILL(none)", f"SELECT {_bucket('10 minutes')} AS time, event_type, avg(value) AS mean FROM events GROUP BY ALL", ["mean"]),
+    "fill_value_whole": Query("SELECT mean(value) FROM events GROUP BY TIME(10m), event_type FILL(-1.5)", _filled_whole("coalesce(v, -1.5)"), ["mean"]),
+    "fill_previous_whole": Query("SELECT mean(value) FROM events GROUP BY TIME(10m), event_type FILL(previous)", _filled_whole("v0"), ["mean"]),
+    "fill_linear_whole": Query("SELECT mean(value) FROM events GROUP BY TIME(10m), event_type FILL(linear)", _filled_whole("coalesce(v, v0 + (v1 - v0) * ((epoch_us(time) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0))))"), ["mean"]),
     "first_last": Query("SELECT first(value), last(value) FROM events GROUP BY event_type", "SELECT event_type, arg_min(value, ts) AS first, arg_max(value, ts) AS last FROM events GROUP BY event_type"),
     "selector_with_fields": Query("SELECT max(value), event_id, user_id FROM events GROUP BY event_type", "SELECT ts AS time, event_type, value AS max, event_id, user_id::VARCHAR AS user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts) = 1"),
     "top_bottom": Query("SELECT top(value, 5), event_id FROM events GROUP BY event_type", "SELECT ts AS time, event_type, value AS top, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts) <= 5"),

@@ -52,6 +52,13 @@ def test_query(spark, duck, name):
     compare(spark, duck, name)
 
 
+@pytest.mark.parametrize("name", ["sum_by_time_whole", "fill_null_whole", "fill_none_whole", "fill_value_whole", "fill_previous_whole", "fill_linear_whole"])
+def test_whole_tables_are_grouped_and_filled(spark, duck, name):
+    days = {r[0].date() for r in entry.queries()[name](spark, FOLDER).select("time").distinct().collect()}
+    assert days >= {r[0] for r in duck.execute("SELECT DISTINCT ts::DATE FROM events").fetchall()}
+    assert name in entry.oracle_sql()
+
+
 def test_flagship(spark, duck):
     assert entry.entry(spark).columns == ["time", "sum"]
 
