@@ -187,3 +187,17 @@ def create_series(existing: DataFrame, candidates: DataFrame, key: str = "series
     old = met.where("series_id is not null").select("key", "series_id", F.lit(False).alias("is_new"))
     out = old.unionByName(made)
     return out.select(F.col("key").alias(key), "series_id", F.pmod(F.col("series_id") - 1, F.lit(SERIES_PARTITIONS)).cast("int").alias("partition_id"), "is_new")
+
+
+#: Relative standard error of the estimated number of series.
+CARDINALITY_ERROR = 0.02
+
+
+def series_cardinality(points: DataFrame, tags: list[str], by: list[str] | None = None, error: float = CARDINALITY_ERROR) -> DataFrame:
+    """(by…, series, error): the estimated number of different tag sets, and its relative standard error.
+
+    A null tag is the empty text.  Rows are sketched where they lie; only
+    sketches are shuffled.
+    """
+    series = F.struct(*[F.coalesce(q(t).cast("string"), F.lit("")).alias(f"t{i}") for i, t in enumerate(tags)])
+    return points.groupBy(*[q(b) for b in by or []]).agg(F.approx_count_distinct(series, error).alias("series"), F.lit(error).alias("error"))

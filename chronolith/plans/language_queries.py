@@ -255,7 +255,8 @@ def seek(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def approx_series_cardinality(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).sql("SELECT approx_count_distinct(props) FROM events GROUP BY event_type")
+    """About how many series (measurement and all tags) the readings of each measurement are."""
+    return storage.series_cardinality(spark.read.parquet(f"{folder}/readings.parquet"), ["measurement", "host", "region"], ["measurement"])
 
 
 def sample(spark: SparkSession, folder: str) -> DataFrame:

@@ -136,6 +136,23 @@ def test_deleted_series_get_new_ids(spark, tmp_path):
         assert made == [top + 8 * (k + 1) for k in range(len(made))]
 
 
+def test_series_cardinality(spark, tmp_path):
+    """The estimate against the exact number of tag sets, within four standard errors."""
+    from chronolith.plans.language_queries import approx_series_cardinality
+
+    data = [(f"m{i % 2}", f"h{i % 7001}", (None, "", "a", "b")[i % 4]) for i in range(60_000)] + [("x", "a", None), ("x", None, "a"), ("x", "", "a"), ("x", "a", "")]
+    df = spark.createDataFrame(data, "measurement string, host string, region string")
+    df.write.parquet(str(tmp_path / "readings.parquet"))
+    exact = {}
+    for m, h, g in data:
+        exact.setdefault(m, set()).add((h or "", g or ""))
+    for got in (approx_series_cardinality(spark, str(tmp_path)), S.series_cardinality(df, ["measurement", "host", "region"], ["measurement"])):
+        found = {r["measurement"]: r for r in got.collect()}
+        assert set(found) == set(exact) and found["x"]["series"] == 2
+        assert all(abs(r["series"] / len(exact[m]) - 1) <= 4 * r["error"] for m, r in found.items())
+    assert abs(S.series_cardinality(df, ["measurement", "host", "region"]).first()["series"] / sum(map(len, exact.values())) - 1) <= 4 * S.CARDINALITY_ERROR
+
+
 def test_tombstone_log(spark, tmp_path):
     from chronolith.operators.tombstones import TombstoneLog
 
