@@ -8,7 +8,7 @@ newest name and type of a lifespan are the alias and the cast for its points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The ids of field types.
@@ -67,7 +67,22 @@ def field_lifespans(fields: DataFrame) -> DataFrame:
     )
 
 
-def consistent_points(points: DataFrame, fields: DataFrame) -> DataFrame:
+def _before_the_cut(text: Column) -> Column:
+    """A JSON object of the complete name and value pairs that a cut-off object begins with; null if it has none.
+
+    A pair is complete if a comma follows it or its value ends by itself (a
+    text, an object or a list).
+    """
+    pieces = F.split(text, ",")
+    whole = F.concat(F.rtrim(text), F.lit("}"))
+    parse = lambda c: F.from_json(c, "map<string,string>")
+    upto = F.transform(F.sequence(F.size(pieces) - 1, F.lit(1), F.lit(-1)), lambda n: F.concat(F.array_join(F.slice(pieces, 1, n), ","), F.lit("}")))
+    ended = F.when(F.rtrim(text).rlike(r'["}\]]$'), F.array(whole)).otherwise(F.array().cast("array<string>"))
+    tries = F.concat(ended, F.when(F.size(pieces) > 1, upto).otherwise(F.array().cast("array<string>")))
+    return F.get(F.filter(tries, lambda c: F.size(parse(c)) > 0), F.lit(0))
+
+
+def consistent_points(points: DataFrame, fields: DataFrame, read_cut: bool = False) -> DataFrame:
     """(file_seq, measurement, time, host, field_id, field, type, as_float, as_integer, as_unsigned, as_boolean, as_string, state): all points in one table.
 
     ``points``: (file_seq, measurement, time, host, fields) with a JSON object.
@@ -76,7 +91,9 @@ def consistent_points(points: DataFrame, fields: DataFrame) -> DataFrame:
     'kept', 'cast' (another type was stated in the file), 'unfit' (the value
     doesn't fit; as_string holds it), 'null', 'unknown' (the file doesn't state
     the field; its own name, as_string) or 'no fields' (null, empty or cut-off
-    JSON; one row, so that no point is lost).  Repeated rows are one point.
+    JSON; one row, so that no point is lost).  With ``read_cut``, the complete
+    pairs of a cut-off text are rows as any others, and its one row has the state
+    'cut off' and the raw text in as_string.  Repeated rows are one point.
     """
     lives = _lives(fields).select("measurement", "file_seq", "field_id", "life", F.col("field_name").alias("name_here"), F.coalesce("type", "type_before").alias("type_here"))
     spans = field_lifespans(fields).select("measurement", "field_id", "life", "name", "type")
@@ -85,7 +102,17 @@ def consistent_points(points: DataFrame, fields: DataFrame) -> DataFrame:
     stated = stated.groupBy("measurement", "file_seq", "name_here").agg(F.min_by(F.struct("field_id", "name", "type", "type_here"), "field_id").alias("f"))
     stated = stated.select(F.col("measurement").alias("m"), F.col("file_seq").alias("s"), F.col("name_here").alias("n"), "f.*")
     own = points.select(F.col("file_seq").cast("long").alias("file_seq"), "measurement", "time", "host", F.col("fields").cast("string").alias("fields")).distinct()
-    values = own.select("file_seq", "measurement", "time", "host", F.explode_outer(F.from_json("fields", "map<string,string>")).alias("key", "text"))
+    parsed = own.withColumn("found", F.from_json("fields", "map<string,string>"))
+    if read_cut:
+        # an object that was begun and doesn't parse
+        cut = F.col("found").isNull() & F.col("fields").rlike(r"^\s*\{")
+        parsed = parsed.withColumn("cut", F.coalesce(cut, F.lit(False)))
+        pairs = F.map_entries(F.from_json(F.when(F.col("cut"), _before_the_cut(F.col("fields"))), "map<string,string>"))
+        raw = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("fields").alias("value")))
+        entries = F.when(F.col("cut"), F.concat(raw, F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>")))).otherwise(F.map_entries("found"))
+        values = parsed.select("file_seq", "measurement", "time", "host", F.explode_outer(entries).alias("e")).select("file_seq", "measurement", "time", "host", F.col("e.key").alias("key"), F.col("e.value").alias("text"))
+    else:
+        values = parsed.select("file_seq", "measurement", "time", "host", F.explode_outer("found").alias("key", "text"))
     met = values.join(stated, (values.measurement == stated.m) & (values.file_seq == stated.s) & (values.key == stated.n), "left")
     kind = F.when(F.col("field_id").isNull(), F.lit(STRING)).otherwise(F.coalesce("type", F.lit(STRING)))
     t = F.col("text")
@@ -97,7 +124,7 @@ def consistent_points(points: DataFrame, fields: DataFrame) -> DataFrame:
         "as_boolean": F.when(kind == BOOLEAN, F.when(F.lower(t).isin("true", "t", "1"), True).when(F.lower(t).isin("false", "f", "0"), False)),
     }
     fits = (kind == STRING) | F.coalesce(*[c.cast("string") for c in cast.values()]).isNotNull()
-    state = F.when(F.col("key").isNull(), "no fields").when(F.col("field_id").isNull(), "unknown").when(t.isNull(), "null").when(~fits, "unfit").when(F.col("type_here") != F.col("type"), "cast").otherwise("kept")
+    state = F.when(F.col("key").isNull() & t.isNotNull(), "cut off").when(F.col("key").isNull(), "no fields").when(F.col("field_id").isNull(), "unknown").when(t.isNull(), "null").when(~fits, "unfit").when(F.col("type_here") != F.col("type"), "cast").otherwise("kept")
     return met.select(
         "file_seq", "measurement", "time", "host", "field_id", F.coalesce("name", "key").alias("field"), F.when(F.col("field_id").isNotNull(), F.coalesce("type", F.lit(STRING))).alias("type"),
         *[c.alias(k) for k, c in cast.items()], F.when((kind == STRING) | ~fits, t).alias("as_string"), state.alias("state"),

@@ -43,7 +43,7 @@ def p3_lifespans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_points(spark: SparkSession, folder: str) -> DataFrame:
-    return consistent_points(_table(spark, folder, "raw_points"), _table(spark, folder, "measurement_fields"))
+    return consistent_points(_table(spark, folder, "raw_points"), _table(spark, folder, "measurement_fields"), read_cut=True)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

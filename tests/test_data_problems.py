@@ -163,6 +163,27 @@ def test_lifespans_and_points(spark):
     assert consistent_points(df.limit(0), f).collect() == []
 
 
+def test_cut_off_points_keep_their_values(spark):
+    f = spark.createDataFrame([(1, "m", i, n, t) for i, (n, t) in enumerate([("a", 1), ("b", 3), ("c", 2)])], FIELDS)
+    t = datetime(2024, 1, 1)
+    texts = {
+        '{"a": 1.5, "b": "x, \\"y\\"", "c": 12': {("a", "1.5"), ("b", 'x, "y"')},
+        '{"a": 1.5, "b": "whole"': {("a", "1.5"), ("b", "whole")},
+        '{"a": 2.5, "b": "cu, t': {("a", "2.5")}, '{"c": 7, "a"': {("c", "7")}, '{"c": 7,': {("c", "7")},
+        '{"b": [1, 2], "a": [3': {("b", "[1,2]")}, '{"a': set(), "{": set(), '{"c": 1': set(),
+    }
+    points = [(1, "m", t, str(i), x) for i, x in enumerate(texts)] + [(1, "m", t, "null", None), (1, "m", t, "empty", "{}"), (1, "m", t, "good", '{"c": 3}')]
+    got = defaultdict(list)
+    for r in consistent_points(spark.createDataFrame(points, "file_seq bigint, measurement string, time timestamp_ntz, host string, fields string"), f, read_cut=True).collect():
+        value = next((r[c] for c in ("as_float", "as_integer", "as_string") if r[c] is not None), None)
+        got[r["host"]].append((r["field"], None if value is None else str(value).replace(" ", "") if r["field"] == "b" and str(value).startswith("[") else str(value), r["state"]))
+    for i, (x, want) in enumerate(texts.items()):
+        own = got[str(i)]
+        assert [v for n, v, s in own if s == "cut off"] == [x]
+        assert {(n, v) for n, v, s in own if s == "kept"} == want and len(own) == 1 + len(want)
+    assert got["null"] == got["empty"] == [(None, None, "no fields")] and got["good"] == [("c", "3", "kept")]
+
+
 # -- grids -----------------------------------------------------------------------------
 
 READINGS = "measurement string, series_key string, host string, region string, time timestamp_ntz, usage double, file_seq bigint, ingested_at timestamp_ntz"
