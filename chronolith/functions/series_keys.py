@@ -37,7 +37,7 @@ def canonical_key(key: Column | str) -> Column:
         value = F.substr(p, F.length(tag) + 2)
         return F.when(F.instr(value, "=") > 0, F.concat(tag, F.lit("="), F.replace(value, F.lit("="), F.lit(_EQUALS)))).otherwise(p)
 
-    tags = F.filter(F.slice(parts, 2, 1_000_000), lambda p: (F.instr(p, "=") > 0) & (F.instr(p, "=") < F.length(p)))
+    tags = F.filter(parts, lambda p, i: (i > 0) & (F.instr(p, "=") > 0) & (F.instr(p, "=") < F.length(p)))
     tags = F.array_sort(F.array_distinct(F.transform(tags, value_marked)))
     return F.when(c.isNotNull(), F.concat_ws(",", F.array(F.replace(parts[0], F.lit("="), F.lit(_EQUALS))), tags))
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolith.functions.series_keys import canonical_key, key_measurement, key_tags
 from chronolith.operators.drift import consistent_points, field_changes, field_lifespans
@@ -326,3 +327,10 @@ def test_keys(spark):
     assert all(len(v) == 1 for v in canon.values())
     assert len(canon) == len(set().union(*canon.values()))
     assert Counter(len(v) for v in canon.values())[1] == len(canon)
+
+
+def test_keys_of_very_many_pieces(spark):
+    """Two keys that differ only after a million pieces are different."""
+    long = F.concat(F.lit("m"), F.repeat(F.lit(",a="), F.lit(1_000_000)), F.concat(F.lit(",b="), F.col("id")))
+    got = [r[0] for r in spark.range(1, 3).select(canonical_key(long)).collect()]
+    assert got == ["m,b=1", "m,b=2"]
