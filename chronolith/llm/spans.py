@@ -175,7 +175,7 @@ def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array([int(o[0]) for o, _ in parts], pa.int64()), "shard": pa.array([key[0].as_py()] * len(parts), pa.int32()), "hashes": pa.array([l.tobytes() for _, l in parts], pa.binary())})
 
 
-_OCCURRENCE = "key long, key2 long, doc_id long, pos int, residue int, before1 int, before2 int, after1 int, after2 int, left string, right string"
+_OCCURRENCE = "key long, key2 long, doc_id long, pos int, residue int, before1 long, before2 long, after1 long, after2 long, left string, right string"
 
 
 def _occurrences(flagged: DataFrame, period: int, residues: tuple[int, ...], width: int, shards: int) -> DataFrame:
@@ -186,9 +186,9 @@ def _occurrences(flagged: DataFrame, period: int, residues: tuple[int, ...], wid
         gap_back[r], gap_ahead[r] = back[r], ahead[r]
 
     def beside(w: _Windows, starts: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> pa.Array:
-        out = np.zeros(len(starts), np.int32)
-        out[ok] = (w.hashes(starts[ok], sizes[ok]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return pa.array(out, pa.int32(), mask=~ok)
+        out = np.zeros(len(starts), np.int64)
+        out[ok] = w.hashes(starts[ok], sizes[ok]).view(np.int64)
+        return pa.array(out, pa.int64(), mask=~ok)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

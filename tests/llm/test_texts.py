@@ -290,3 +290,25 @@ def test_nothing_is_shared(spark):
     df = spark.createDataFrame([(1, "x" * 500), (2, None), (None, "x" * 500)], "doc_id bigint, text string")
     assert shared_pairs(df).collect() == [] == shared_spans(df).collect() == shared_pairs(df.limit(0)).collect()
     assert sorted(r["shared_chars"] for r in shared_parts(df).collect()) == [0, 0, 0]
+
+
+def test_ends_of_stretches_are_told_by_64_bits(spark):
+    """Characters beside a stretch whose hashes have the same upper 32 bits still differ."""
+    from chronolith.llm.spans import ORDER, _Windows, difference_cover
+
+    period, _ = difference_cover(ORDER)
+    rng = np.random.default_rng(11)
+    sides = ["".join(map(chr, x)) for x in rng.integers(97, 123, (300_000, period))]
+    h = _Windows(sides).hashes(np.arange(len(sides)) * period, period) >> np.uint64(32)
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    assert len(same)
+    body = "".join(map(chr, rng.integers(97, 123, 400)))
+    for k in same[:2]:
+        x, y = sides[order[k]], sides[order[k + 1]]
+        # one text has the sides before the stretch, at the same residue and at others
+        for pad in (0, 1, 20):
+            texts = [(1, x + body), (2, "z" * pad + y + body)]
+            got = {tuple(r) for r in shared_spans(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+            common = next(i for i in range(period + 1) if i == period or x[period - 1 - i] != y[period - 1 - i])
+            assert got == {(1, 2, period - common, period + pad - common, 400 + common)}
