@@ -36,7 +36,8 @@ def field_changes(fields: DataFrame) -> DataFrame:
 
     ``fields``: (file_seq, measurement, field_id, field_name, field_type).  The
     files of a measurement are those with a row for it, by file_seq; each is
-    compared with the one before.  A type of 0, null or an unknown id states
+    compared with the one before, the first with none, so that it makes no case.
+    A type of 0, null or an unknown id states
     nothing; a type is compared with the last one stated since the field was
     added.  Names are compared exactly, a null name as a name of its own.  Rows
     with a null measurement or file_seq are ignored; one with a null field_id
@@ -45,7 +46,7 @@ def field_changes(fields: DataFrame) -> DataFrame:
     """
     lives = _lives(fields)
     found = F.array(
-        F.when(F.col("added"), F.struct("file_seq", F.lit("added").alias("change"))),
+        F.when(F.col("added") & F.col("file_before").isNotNull(), F.struct("file_seq", F.lit("added").alias("change"))),
         F.when(F.col("ends") & F.col("file_after").isNotNull(), F.struct(F.col("file_after").alias("file_seq"), F.lit("removed").alias("change"))),
         F.when(~F.col("added") & ~F.col("field_name").eqNullSafe(F.col("name_before")), F.struct("file_seq", F.lit("renamed").alias("change"))),
         F.when(~F.col("added") & (F.col("type") != F.col("type_before")), F.struct("file_seq", F.lit("retyped").alias("change"))),

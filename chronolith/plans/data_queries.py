@@ -139,7 +139,7 @@ def oracle_sql() -> dict[str, str]:
         ), typed AS (
             SELECT *, last_value(type IGNORE NULLS) OVER (PARTITION BY measurement, field_id, stay ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_type FROM stays
         )
-        SELECT measurement, file_seq, field_id, 'added' AS change FROM typed WHERE added
+        SELECT measurement, file_seq, field_id, 'added' AS change FROM typed WHERE added AND before IS NOT NULL
         UNION ALL SELECT measurement, after, field_id, 'removed' FROM typed WHERE gone
         UNION ALL SELECT measurement, file_seq, field_id, 'renamed' FROM typed WHERE NOT added AND field_name <> old_name
         UNION ALL SELECT measurement, file_seq, field_id, 'retyped' FROM typed WHERE NOT added AND type <> old_type""",

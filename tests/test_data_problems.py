@@ -105,7 +105,8 @@ def plain_changes(rows):
             now = {i: v for (mm, ss, i), v in state.items() if (mm, ss) == (m, s)}
             for i, (n, t) in now.items():
                 if i not in before:
-                    out.append((m, s, i, "added"))
+                    # the first file is compared with none
+                    out += [(m, s, i, "added")] if s > min(seqs) else []
                     last_type[i] = t
                     continue
                 if n != before[i][0]:
@@ -138,7 +139,7 @@ def test_changes_at_random(spark):
 def test_a_file_without_fields_counts(spark):
     rows = [(1, "m", 1, "a", 1), (2, "m", None, None, None), (3, "m", 1, "a", 2)]
     got = sorted(tuple(r) for r in field_changes(spark.createDataFrame(rows, FIELDS)).collect())
-    assert got == [("m", 1, 1, "added"), ("m", 2, 1, "removed"), ("m", 3, 1, "added")]
+    assert got == [("m", 2, 1, "removed"), ("m", 3, 1, "added")]
 
 
 def test_lifespans_and_points(spark):
