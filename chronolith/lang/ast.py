@@ -95,7 +95,7 @@ class Literal(Node):
     def __str__(self):
         v = self.value
         if self.kind == "string":
-            return "'" + _escaped(v, {"\n": "\\n", "\\": "\\\\", "'": "\\'", '"': '\\"'}) + "'"
+            return "'" + _escaped(v, {"\n": "\\n", "\\": "\\\\", "'": "\\'"}) + "'"
         if self.kind == "regex":
             return "/" + v.replace("/", "\\/") + "/"
         if self.kind == "boolean":

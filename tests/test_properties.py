@@ -2,7 +2,7 @@
 
 import math
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from chronolith.lang import ast as A
@@ -33,7 +33,10 @@ expression = st.recursive(
 )
 
 
+@settings(max_examples=1000)
 @given(expression)
+@example(A.Literal("string", '"'))
+@example(A.Literal("string", 'a"b\\"\'\n'))
 def test_expressions_survive_their_text(e):
     assert parse_expression(str(e)) == e
 
