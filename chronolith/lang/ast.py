@@ -73,7 +73,9 @@ class VarRef(Node):
     cast: str | None = None
 
     def __str__(self):
-        return quoted(self.name) + (f"::{self.cast}" if self.cast else "")
+        # in an expression a bare true is a value
+        name = f'"{self.name}"' if self.name.upper() in ("TRUE", "FALSE") else quoted(self.name)
+        return name + (f"::{self.cast}" if self.cast else "")
 
 
 @dataclass
