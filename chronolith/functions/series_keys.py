@@ -42,6 +42,16 @@ def canonical_key(key: Column | str) -> Column:
     return F.when(c.isNotNull(), F.concat_ws(",", F.array(F.replace(parts[0], F.lit("="), F.lit(_EQUALS))), tags))
 
 
+def key_of_parts(measurement: Column, tags: Column) -> Column:
+    """The canonical text of a measurement and an array of (tag, value), as ``canonical_key`` gives it."""
+
+    def marked(c: Column) -> Column:
+        return F.replace(F.replace(F.replace(c, F.lit(_MARK), F.lit(_MARK * 2)), F.lit(","), F.lit(_COMMA)), F.lit("="), F.lit(_EQUALS))
+
+    each = F.transform(tags, lambda t: F.concat(marked(t["tag"]), F.lit("="), marked(t["value"])))
+    return F.when(measurement.isNotNull(), F.concat_ws(",", F.array(marked(measurement)), F.array_sort(F.array_distinct(each))))
+
+
 def _plain(c: Column) -> Column:
     """What the marks stand for; a doubled mark is a mark."""
     parts = F.transform(F.split(c, _MARK * 2), lambda p: F.replace(F.replace(p, F.lit(_COMMA), F.lit(",")), F.lit(_EQUALS), F.lit("=")))

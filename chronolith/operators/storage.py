@@ -124,6 +124,11 @@ def overlapping(stats: DataFrame, low: Column, high: Column, min_time: str = "mi
     return stats.where((q(min_time) <= high) & (q(max_time) >= low))
 
 
+def overlapping_keys(stats: DataFrame, low: Column, high: Column, min_key: str = "min_key", max_key: str = "max_key") -> DataFrame:
+    """Files whose range of keys meets low to high, by their bytes."""
+    return stats.where((q(min_key) <= high) & (q(max_key) >= low))
+
+
 def write_sorted(points: DataFrame, path: str, tags: list[str], partitions: int | None = None, mode: str = "errorifexists") -> None:
     """Parquet that scans can skip in: rows of a series together, by time."""
     by = [q(t) for t in tags]
@@ -201,3 +206,22 @@ def series_cardinality(points: DataFrame, tags: list[str], by: list[str] | None
     """
     series = F.struct(*[F.coalesce(q(t).cast("string"), F.lit("")).alias(f"t{i}") for i, t in enumerate(tags)])
     return points.groupBy(*[q(b) for b in by or []]).agg(F.approx_count_distinct(series, error).alias("series"), F.lit(error).alias("error"))
+
+
+def series_sketches(points: DataFrame, tags: list[str], by: list[str], bits: int = 12) -> DataFrame:
+    """(by…, sketch): mergeable sketches of the tag sets, to be stored and united later; a null tag is the empty text."""
+    key = F.to_json(F.array(*[F.coalesce(q(t).cast("string"), F.lit("")) for t in tags]))
+    return points.groupBy(*[q(b) for b in by]).agg(F.hll_sketch_agg(key, bits).alias("sketch"))
+
+
+def merge_series_sketches(sketches: list[DataFrame], by: list[str]) -> DataFrame:
+    """(by…, sketch): the sketches of several tables as one for each group."""
+    rows = sketches[0]
+    for s in sketches[1:]:
+        rows = rows.unionByName(s)
+    return rows.groupBy(*[q(b) for b in by]).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_series(sketches: DataFrame) -> DataFrame:
+    """The sketches' estimates, in place of them."""
+    return sketches.withColumn("series", F.hll_sketch_estimate("sketch")).drop("sketch")

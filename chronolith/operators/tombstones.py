@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import coalesce_ranges
+
 #: All of a key's points.
 ALWAYS = (-(1 << 63), (1 << 63) - 1)
 
@@ -66,6 +68,11 @@ class TombstoneLog:
         schema = "key string, min_time bigint, max_time bigint"
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
+    def ranges(self, keys: list[str] | None = None) -> DataFrame:
+        """The committed deletions of some keys (or all), overlapping ones as one."""
+        rows = self.walk()
+        return coalesce_ranges(rows.where(rows.key.isin(keys)) if keys is not None else rows, ["key"])
+
     def has_tombstones(self) -> bool:
         return bool(self._committed())
 

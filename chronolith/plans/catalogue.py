@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, language_queries
+from . import data_queries, language_queries, storage_queries
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return language_queries.queries() | data_queries.queries()
+    return language_queries.queries() | storage_queries.queries() | data_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return language_queries.oracle_sql() | data_queries.oracle_sql()
+    return language_queries.oracle_sql() | storage_queries.oracle_sql() | data_queries.oracle_sql()

@@ -143,11 +143,13 @@ class MetaPlanner:
 
     def explain(self, s: A.Explain) -> DataFrame:
         df = SelectPlanner(self.catalog, self.now_ns).plan(s.select).df
+        run = df._jdf.queryExecution()
         if s.options in ("ANALYZE", "ANALYZE VERBOSE"):
-            df.write.format("noop").mode("overwrite").save()
+            # this very plan, so that its text is the final one
+            run.toRdd().count()
         mode = {None: "simple", "VERBOSE": "extended", "ANALYZE": "formatted", "ANALYZE VERBOSE": "cost"}[s.options]
         jvm = self.spark._jvm
-        text = df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+        text = run.explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
         return self.rows([(line,) for line in text.split("\n")], "plan string")
 
     def plan(self, s: A.Node) -> DataFrame:

@@ -1,35 +1,70 @@
-"""Block files and series segments as sources and sinks.
+"""Block files as a source and a sink.
 
 A block file is a header, blocks with checksums, an index sorted by key, and
-the offset of the index.  The reader's tasks are runs of blocks, chosen from the
-indexes by key, time and size, so that only wanted blocks are read.
+the offset of the index.  The driver only lists files; a reading task takes a
+stretch of bytes of one file (or several small files), reads the index once and
+of its stretch the blocks that the wanted keys and times need.  Paths are local
+or any that Arrow's file systems open (``s3://``, ``gs://``, ``hdfs://``, …).
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import bisect
+import fnmatch
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
-from .codecs import TYPES, CodecError, block_count, decode_block, encode_block, get_varint, put_varint
+from .codecs import TYPES, CodecError, block_arrays, block_count, decode_block, encode_block
 
 # The magic number and version, limits, the mark between series and field.
 HEADER = bytes.fromhex("16d116d101")
 MOST_KEY_BYTES = 65_535
 MOST_BLOCKS = 65_535
+MOST_FILE_BYTES = 2 << 30
 FIELD_MARK = "#!~#"
-SEGMENT_HEADER = b"SSEG"
-INSERT, TOMBSTONE = 1, 2
 #: Points of a written block.
 BLOCK_POINTS = 1000
-#: Bytes of blocks that a reading task takes.
+#: Bytes of files that a reading task takes.
 TASK_BYTES = 64 << 20
+#: Points of a batch that a reading task hands on.
+BATCH_POINTS = 1 << 16
+
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+_ENTRY = np.dtype([("min_time", ">i8"), ("max_time", ">i8"), ("offset", ">u8"), ("size", ">u4")])
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def list_files(path: str, suffix: str = "") -> list[tuple[str, int]]:
+    """(path, bytes) of a file, of the files of a folder that end in ``suffix``, or of a pattern for the last part of a path; sorted."""
+    fs, at = file_system(path)
+    root = path[: len(path) - len(at)] if path.endswith(at) else ""
+    info = fs.get_file_info(at)
+    if info.type == pafs.FileType.File:
+        found = [info]
+    else:
+        folder, pattern = (at, "*" + suffix) if info.type == pafs.FileType.Directory else at.rstrip("/").rpartition("/")[::2]
+        found = fs.get_file_info(pafs.FileSelector(folder or ".", allow_not_found=True))
+        found = [i for i in found if i.type == pafs.FileType.File and fnmatch.fnmatchcase(i.base_name, pattern)]
+    return sorted((root + i.path, i.size) for i in found)
 
 
 @dataclass
@@ -44,33 +79,47 @@ class Entry:
 
 
 class BlockFileWriter:
-    """Writes one file; keys in ascending order, times of a key too."""
+    """Writes one file; keys in ascending order, times of a key too.
 
-    def __init__(self, path: str):
-        self.path, self.file, self.at = path, open(path + ".tmp", "wb"), 0
+    The file is written beside its place, under ``mark`` of who writes it, and
+    moved there when it is complete.
+    """
+
+    def __init__(self, path: str, mark: str = "tmp"):
+        self.fs, self.path = file_system(path)
+        self.beside = f"{self.path}.{mark}"
+        self.file, self.at = self.fs.open_output_stream(self.beside), 0
         self.index: list[tuple[bytes, str, list[Entry]]] = []
 
-    def write(self, key: str, kind: str, times: list[int], values: list, block_points: int = BLOCK_POINTS) -> None:
+    def write(self, key: str, kind: str, times: list[int] | np.ndarray, values: list | np.ndarray, block_points: int = BLOCK_POINTS) -> None:
+        """A key's points; another call with the same key goes on with it."""
         name = key.encode()
         if len(name) > MOST_KEY_BYTES:
             raise ValueError("key too long")
-        if any(a >= b for a, b in zip(times, times[1:])):
+        t = np.asarray(times, np.int64)
+        if (t[:-1] >= t[1:]).any():
             raise ValueError("times must ascend and differ")
-        if self.index and name <= self.index[-1][0]:
-            raise ValueError("keys must ascend")
-        if not times:
+        goes_on = bool(self.index) and name == self.index[-1][0]
+        if self.index and (name < self.index[-1][0] or (goes_on and (kind != self.index[-1][1] or (len(t) and t[0] <= self.index[-1][2][-1].max_time)))):
+            raise ValueError("keys must ascend, and times and types within a key agree")
+        if not len(t):
             return
-        if -(-len(times) // block_points) > MOST_BLOCKS:
+        entries = self.index[-1][2] if goes_on else []
+        if len(entries) + -(-len(t) // block_points) > MOST_BLOCKS:
             raise ValueError("too many blocks for a key")
-        entries = []
-        for k in range(0, len(times), block_points):
-            t = times[k : k + block_points]
-            block = encode_block(kind, t, values[k : k + block_points])
+        for k in range(0, len(t), block_points):
+            part = t[k : k + block_points]
+            block = encode_block(kind, part, values[k : k + block_points])
             if not self.at:
                 self._put(HEADER)
-            entries.append(Entry(t[0], t[-1], self.at, len(block) + 4))
+            entries.append(Entry(int(part[0]), int(part[-1]), self.at, len(block) + 4))
             self._put(struct.pack(">I", zlib.crc32(block)) + block)
-        self.index.append((name, kind, entries))
+        if not goes_on:
+            self.index.append((name, kind, entries))
+
+    def full(self, key: str) -> bool:
+        """Whether what follows of a key should go to another file."""
+        return self.at >= MOST_FILE_BYTES // 2 or (bool(self.index) and self.index[-1][0] == key.encode() and len(self.index[-1][2]) >= MOST_BLOCKS // 2)
 
     def _put(self, data: bytes) -> None:
         self.file.write(data)
@@ -83,70 +132,110 @@ class BlockFileWriter:
         start = self.at
         for name, kind, entries in self.index:
             self._put(struct.pack(">H", len(name)) + name + bytes([TYPES.index(kind)]) + struct.pack(">H", len(entries)))
-            for e in entries:
-                self._put(struct.pack(">qqQI", e.min_time, e.max_time, e.offset, e.size))
+            self._put(np.array([(e.min_time, e.max_time, e.offset, e.size) for e in entries], _ENTRY).tobytes())
         self._put(struct.pack(">Q", start))
         self.file.close()
-        os.replace(self.path + ".tmp", self.path)
+        self.fs.move(self.beside, self.path)
 
     def remove(self) -> None:
         self.file.close()
-        os.remove(self.path + ".tmp")
+        self.fs.delete_file(self.beside)
 
 
 class BlockFileReader:
     """Reads one file: its index at once, blocks as they are asked for."""
 
     def __init__(self, path: str):
-        self.path = path
-        with open(path, "rb") as f:
-            if f.read(5) != HEADER:
-                raise CodecError(f"{path} is not a block file of version 1")
-            end = f.seek(-8, os.SEEK_END)
-            (start,) = struct.unpack(">Q", f.read(8))
-            if not 5 <= start <= end:
-                raise CodecError(f"{path} has no index")
-            f.seek(start)
-            data = f.read(end - start)
-        self.keys: dict[str, tuple[str, list[Entry]]] = {}
+        fs, at = file_system(path)
+        self.path, self.file = path, fs.open_input_file(at)
+        size = self.file.size()
+        if size < 13 or self.file.read_at(5, 0) != HEADER:
+            raise CodecError(f"{path} is not a block file of version 1")
+        (start,) = struct.unpack(">Q", self.file.read_at(8, size - 8))
+        if not 5 <= start <= size - 8:
+            raise CodecError(f"{path} has no index")
+        data = self.file.read_at(size - 8 - start, start)
+        #: type and entries (an array) of each key, in the keys' order
+        self.arrays: dict[str, tuple[str, np.ndarray]] = {}
         at = 0
         try:
             while at < len(data):
                 (n,) = struct.unpack_from(">H", data, at)
                 name = data[at + 2 : at + 2 + n].decode()
                 kind, count = struct.unpack_from(">BH", data, at + 2 + n)
-                at += 5 + n
-                self.keys[name] = (TYPES[kind], [Entry(*x) for x in struct.iter_unpack(">qqQI", data[at : at + 28 * count])])
-                at += 28 * count
-        except (struct.error, IndexError) as e:
+                self.arrays[name] = (TYPES[kind], np.frombuffer(data, _ENTRY, count, at + 5 + n))
+                at += 5 + n + _ENTRY.itemsize * count
+        except (struct.error, IndexError, ValueError) as e:
             raise CodecError(f"{path}: the index is cut off") from e
+        self.names = [k.encode() for k in self.arrays]
+
+    def close(self) -> None:
+        self.file.close()
+
+    # -- the index ----------------------------------------------------------------------------------
+    @property
+    def keys(self) -> dict[str, tuple[str, list[Entry]]]:
+        return {k: (kind, self.entries(k)) for k, (kind, _) in self.arrays.items()}
+
+    def key_count(self) -> int:
+        return len(self.names)
+
+    def key_at(self, place: int) -> str | None:
+        """The key at a place of the index, from 0."""
+        return self.names[place].decode() if 0 <= place < len(self.names) else None
+
+    def seek(self, key: str) -> int:
+        """The place of the first key that is not less; the number of keys if there is none."""
+        return bisect.bisect_left(self.names, key.encode())
+
+    def search(self, key: str) -> int | None:
+        """The place of a key."""
+        at = self.seek(key)
+        return at if self.key_at(at) == key else None
+
+    def contains(self, key: str, time: int | None = None) -> bool:
+        """Whether it has the key, or a block of it that may hold a time."""
+        return key in self.arrays if time is None else self.entry(key, time) is not None
 
     def time_range(self) -> tuple[int, int] | None:
-        all_ = [e for _, entries in self.keys.values() for e in entries]
-        return (min(e.min_time for e in all_), max(e.max_time for e in all_)) if all_ else None
+        if not self.arrays:
+            return None
+        return min(int(e["min_time"].min()) for _, e in self.arrays.values()), max(int(e["max_time"].max()) for _, e in self.arrays.values())
 
     def key_range(self) -> tuple[str, str] | None:
-        return (min(self.keys), max(self.keys)) if self.keys else None
+        return (self.names[0].decode(), self.names[-1].decode()) if self.names else None
+
+    def overlaps_times(self, low: int, high: int) -> bool:
+        own = self.time_range()
+        return own is not None and own[0] <= high and own[1] >= low
+
+    def overlaps_keys(self, low: str, high: str) -> bool:
+        return bool(self.names) and self.names[0] <= high.encode() and self.names[-1] >= low.encode()
 
     def block_type(self, key: str) -> str:
-        return self.keys[key][0]
+        return self.arrays[key][0]
 
     def entries(self, key: str) -> list[Entry]:
-        return self.keys[key][1] if key in self.keys else []
+        return [Entry(*e) for e in self.arrays[key][1].tolist()] if key in self.arrays else []
 
     def entry(self, key: str, time: int) -> Entry | None:
         """The block that may hold a time."""
         return next((e for e in self.entries(key) if e.overlaps(time, time)), None)
 
-    def read_block(self, e: Entry) -> bytes:
-        with open(self.path, "rb") as f:
-            f.seek(e.offset)
-            data = f.read(e.size)
-        if len(data) != e.size or struct.unpack(">I", data[:4])[0] != zlib.crc32(data[4:]):
-            raise CodecError(f"{self.path}: the block at {e.offset} is damaged")
+    # -- blocks ---------------------------------------------------------------------------------------
+    def block_at(self, offset: int, size: int) -> bytes:
+        data = self.file.read_at(size, offset)
+        if len(data) != size or struct.unpack(">I", data[:4])[0] != zlib.crc32(data[4:]):
+            raise CodecError(f"{self.path}: the block at {offset} is damaged")
         return data[4:]
 
-    def read(self, key: str, low: int = -(1 << 63), high: int = (1 << 63) - 1) -> Iterator[tuple[int, object]]:
+    def read_block(self, e: Entry) -> bytes:
+        return self.block_at(e.offset, e.size)
+
+    def blocks(self, key: str) -> Iterator[bytes]:
+        return (self.read_block(e) for e in self.entries(key))
+
+    def read(self, key: str, low: int = _LEAST, high: int = _MOST) -> Iterator[tuple[int, object]]:
         """(time, value) of a key from low to high, block by block."""
         for e in self.entries(key):
             if e.overlaps(low, high):
@@ -155,61 +244,137 @@ class BlockFileReader:
 
     def count(self, key: str) -> int:
         """Points of a key, without decoding them."""
-        return sum(block_count(self.read_block(e)) for e in self.entries(key))
+        return sum(map(block_count, self.blocks(key)))
+
+
+# -- the source ------------------------------------------------------------------------------------
 
+_ARROW = {"float": pa.float64(), "integer": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "unsigned": pa.uint64()}
+_COLUMNS = ("file_seq", "series_key", "field", "type", "time_ns", *(f"as_{t}" for t in TYPES))
 
-class _Blocks(InputPartition):
-    def __init__(self, blocks: list[tuple[str, int, str, str, int, int, int, int]]):
+
+class _Stretches(InputPartition):
+    """(path, number of the file, first byte, byte after the last) of what a task reads."""
+
+    def __init__(self, files: list[tuple[str, int, int, int]]):
         super().__init__(0)
-        self.blocks = blocks
+        self.files = files
+
+
+class _Batch:
+    """Blocks on their way to a batch."""
+
+    def __init__(self):
+        self.heads: list[tuple[int, str, str | None, str]] = []
+        self.times: list[np.ndarray] = []
+        self.values: list[np.ndarray | list[str]] = []
+        self.points = 0
+
+    def add(self, head: tuple[int, str, str | None, str], times: np.ndarray, values) -> None:
+        self.heads.append(head)
+        self.times.append(times)
+        self.values.append(values)
+        self.points += len(times)
+
+    def made(self) -> pa.RecordBatch:
+        n = np.array([len(t) for t in self.times])
+        owner = pa.array(np.repeat(np.arange(len(n)), n))
+        first = np.concatenate([[0], np.cumsum(n)])
+        numbers, series, fields, kinds = zip(*self.heads)
+        columns = [pa.array(numbers, pa.int32()).take(owner), pa.array(series, pa.string()).take(owner), pa.array(fields, pa.string()).take(owner), pa.array(kinds, pa.string()).take(owner), pa.array(np.concatenate(self.times))]
+        for t in TYPES:
+            of = [k for k, kind in enumerate(kinds) if kind == t]
+            if not of:
+                columns.append(pa.nulls(self.points, pa.string() if t == "unsigned" else _ARROW[t]))
+                continue
+            where = np.full(self.points, -1)
+            where[np.concatenate([np.arange(first[k], first[k + 1]) for k in of])] = np.arange(sum(n[k] for k in of))
+            own = pa.concat_arrays([pa.array(self.values[k], _ARROW[t]) for k in of])
+            column = own.take(pa.array(where, mask=where < 0))
+            columns.append(column.cast(pa.string()) if t == "unsigned" else column)
+        return pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.low = int(options.get("mintime", -(1 << 63)))
-        self.high = int(options.get("maxtime", (1 << 63) - 1))
+        self.low = int(options.get("mintime", _LEAST))
+        self.high = int(options.get("maxtime", _MOST))
         self.prefix = options.get("keyprefix", "")
+        #: what a series key or a field must be one of
+        self.series, self.fields = (frozenset(json.loads(options[o])) if o in options else None for o in ("series", "fields"))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Conditions on time, series and field choose blocks; Spark still applies all of them to the rows."""
+        for f in filters:
+            match f:
+                case EqualTo(("time_ns",), v):
+                    self.low, self.high = max(self.low, v), min(self.high, v)
+                case GreaterThan(("time_ns",), v) | GreaterThanOrEqual(("time_ns",), v):
+                    self.low = max(self.low, v)
+                case LessThan(("time_ns",), v) | LessThanOrEqual(("time_ns",), v):
+                    self.high = min(self.high, v)
+                case EqualTo(("series_key",), v):
+                    self.series = frozenset([v]) & (self.series if self.series is not None else {v})
+                case In(("series_key",), v):
+                    self.series = frozenset(v) & (self.series if self.series is not None else frozenset(v))
+                case EqualTo(("field",), v):
+                    self.fields = frozenset([v]) & (self.fields if self.fields is not None else {v})
+                case In(("field",), v):
+                    self.fields = frozenset(v) & (self.fields if self.fields is not None else frozenset(v))
+                case StringStartsWith(("series_key",), v) if v.startswith(self.prefix):
+                    self.prefix = v
+            yield f
 
     def partitions(self) -> list[InputPartition]:
         out, part, size = [], [], 0
-        names = sorted(glob.glob(os.path.join(self.path, "*.tsm"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        for number, name in enumerate(names):
-            for key, (kind, entries) in BlockFileReader(name).keys.items():
-                if not key.startswith(self.prefix):
-                    continue
-                for e in entries:
-                    if e.overlaps(self.low, self.high):
-                        part.append((name, number, key, kind, e.min_time, e.max_time, e.offset, e.size))
-                        size += e.size
-                        if size >= TASK_BYTES:
-                            out.append(_Blocks(part))
-                            part, size = [], 0
+        for number, (name, n) in enumerate(list_files(self.path, ".tsm")):
+            for start in range(0, n, TASK_BYTES):
+                stop = min(n, start + TASK_BYTES)
+                if part and size + stop - start > TASK_BYTES:
+                    out.append(_Stretches(part))
+                    part, size = [], 0
+                part.append((name, number, start, stop))
+                size += stop - start
         if part or not out:
-            out.append(_Blocks(part))
+            out.append(_Stretches(part))
         return out
 
-    def read(self, partition: _Blocks) -> Iterator[tuple]:
-        readers: dict[str, BlockFileReader] = {}
-        for name, number, key, kind, a, b, offset, size in partition.blocks:
-            reader = readers.setdefault(name, BlockFileReader(name))
-            _, times, values = decode_block(reader.read_block(Entry(a, b, offset, size)), kind)
-            series, _, field = key.partition(FIELD_MARK)
-            at = TYPES.index(kind)
-            for t, v in zip(times, values):
-                if self.low <= t <= self.high:
-                    columns = [None] * 5
-                    columns[at] = v if kind != "unsigned" else str(v)
-                    yield (number, series, field or None, kind, t, *columns)
+    def wanted(self, key: str) -> bool:
+        series, _, field = key.partition(FIELD_MARK)
+        return key.startswith(self.prefix) and (self.series is None or series in self.series) and (self.fields is None or field in self.fields)
+
+    def read(self, partition: _Stretches) -> Iterator[pa.RecordBatch]:
+        batch = _Batch()
+        for name, number, start, stop in partition.files:
+            reader = BlockFileReader(name)
+            for key, (kind, entries) in reader.arrays.items():
+                if not self.wanted(key):
+                    continue
+                series, _, field = key.partition(FIELD_MARK)
+                of = entries[(entries["offset"] >= start) & (entries["offset"] < stop) & (entries["min_time"] <= self.high) & (entries["max_time"] >= self.low)]
+                for e in of:
+                    _, times, values = block_arrays(reader.block_at(int(e["offset"]), int(e["size"])), kind)
+                    if e["min_time"] < self.low or e["max_time"] > self.high:
+                        keep = (times >= self.low) & (times <= self.high)
+                        times, values = times[keep], [v for v, k in zip(values, keep) if k] if isinstance(values, list) else values[keep]
+                    batch.add((number, series, field or None, kind), times, values)
+                    if batch.points >= BATCH_POINTS:
+                        yield batch.made()
+                        batch = _Batch()
+            reader.close()
+        if batch.points:
+            yield batch.made()
 
 
 class BlockFileSource(DataSource):
     """``spark.read.format("blockfile").load(path)``: all points of a file or of a folder's *.tsm files.
 
-    Options: ``mintime`` and ``maxtime`` (nanoseconds, included) and
-    ``keyprefix`` leave out blocks before they are read.  ``file_seq`` numbers
-    the files by name, so that ``last_write`` merges overlapping ones.
-    as_unsigned is text, since it may exceed a long.
+    Conditions on time_ns, series_key and field leave out blocks before they
+    are read; so do the options ``mintime`` and ``maxtime`` (nanoseconds,
+    included), ``keyprefix``, and ``series`` and ``fields`` (JSON lists).
+    ``file_seq`` numbers the files by name, so that ``last_write`` merges
+    overlapping ones.  as_unsigned is text, since it may exceed a long.
     """
 
     @classmethod
@@ -224,116 +389,123 @@ class BlockFileSource(DataSource):
 
 
 def read_block_files(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """The points of block files; ``options`` as of ``BlockFileSource``."""
+    """The points of block files; ``options`` as of ``BlockFileSource``, lists as lists."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BlockFileSource)
     reader = spark.read.format("blockfile")
     for k, v in options.items():
-        reader = reader.option(k, str(v))
+        reader = reader.option(k, json.dumps(list(v)) if isinstance(v, (list, tuple, set, frozenset)) else str(v))
     return reader.load(path)
 
 
-def write_block_files(points: DataFrame, folder: str, files: int) -> list[str]:
-    """Writes (series_key, field, time_ns, value) as ``files`` block files in a folder that all executors share.
+_INDEX = "file_seq int, path string, key string, place int, type string, min_time bigint, max_time bigint, block_offset bigint, block_size bigint, points bigint"
 
-    Points of a key go to one file; of a repeated time the greatest value is
-    kept.  A file appears when it is complete, under a name that only its
-    contents' partition decides, so a task that runs again replaces it.
+
+def read_block_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file_seq, path, key, place, type, min_time, max_time, block_offset, block_size, points): every block of every file.
+
+    ``place`` is the key's in its file's index; points are counted from the
+    blocks' timestamps without decoding them.
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+    files = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(list_files(path, ".tsm"))], "file_seq int, path string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, name in zip(*(c.to_pylist() for c in batch.columns)):
+                reader = BlockFileReader(name)
+                for place, (key, (kind, e)) in enumerate(reader.arrays.items()):
+                    n = len(e)
+                    points = [block_count(reader.block_at(int(x["offset"]), int(x["size"]))) for x in e]
+                    whole = [pa.array(e[c].astype(np.int64)) for c in ("min_time", "max_time", "offset", "size")]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), pa.array([name] * n), pa.array([key] * n), pa.array([place] * n, pa.int32()), pa.array([kind] * n), *whole, pa.array(points, pa.int64())], [c.split()[0] for c in _INDEX.split(", ")])
+                reader.close()
 
-    kind = {T.DoubleType: "float", T.LongType: "integer", T.BooleanType: "boolean", T.StringType: "string", T.DecimalType: "unsigned"}[type(points.schema["value"].dataType)]
-    keyed = points.select(F.concat_ws(FIELD_MARK, "series_key", "field").alias("key"), "time_ns", "value").where("key is not null and time_ns is not null and value is not null")
-    keyed = keyed.groupBy("key", "time_ns").agg(F.max("value").alias("value"))
+    return files.repartition(max(1, files.count())).mapInArrow(run, _INDEX) if files.take(1) else spark.createDataFrame([], _INDEX)
 
-    def write(rows) -> Iterator[tuple[str, int]]:
+
+# -- the sink --------------------------------------------------------------------------------------
+
+_KINDS = {T.DoubleType: "float", T.LongType: "integer", T.BooleanType: "boolean", T.StringType: "string", T.DecimalType: "unsigned"}
+
+
+def write_block_files(points: DataFrame, folder: str, files: int, generation: int = 0) -> list[str]:
+    """Writes points as ``files`` or more block files in a folder that all executors share; the files' paths.
+
+    ``points`` is (series_key, field, time_ns) with a column ``value`` of the
+    one type, or columns as_float, as_integer, as_boolean, as_string and
+    as_unsigned (any of them), of which a point has one.  A key has values of
+    one type, or it is an error.  Files hold ranges of (key, time): a key with many
+    points is in several, whose times do not overlap; of a repeated time the greatest value is
+    kept.  A file appears when it is complete, under a name that only its
+    contents' partition decides, so a task that runs again replaces it.  Files of
+    a later ``generation`` come after those of earlier ones in the same folder.
+    """
+    kinds = {f.name: _KINDS[type(f.dataType)] for f in points.schema if f.name == "value"} or {f"as_{t}": t for t in TYPES if f"as_{t}" in points.columns}
+    columns = list(kinds)
+    own = points.select(F.concat_ws(FIELD_MARK, "series_key", "field").alias("key"), "time_ns", *[F.col(c).cast("decimal(20,0)").alias(c) if kinds[c] == "unsigned" else F.col(c) for c in columns])
+    own = own.where(F.col("key").isNotNull() & F.col("time_ns").isNotNull() & F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    own = own.groupBy("key", "time_ns").agg(*[F.max(c).alias(c) for c in columns])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        path = os.path.join(folder, f"{TaskContext.get().partitionId():09d}-01.tsm")
-        writer, key, times, values, n = None, None, [], [], 0
-        os.makedirs(folder, exist_ok=True)
-        for batch in rows:
-            for k, t, v in zip(*(c.to_pylist() for c in batch.columns)):
-                writer = writer or BlockFileWriter(path)
-                if k != key:
-                    if key is not None:
-                        writer.write(key, kind, times, values)
-                    key, times, values = k, [], []
-                times.append(t)
-                values.append(int(v) if kind == "unsigned" else v)
-                n += 1
-        if writer:
+        at = TaskContext.get()
+        fs, inside = file_system(folder)
+        fs.create_dir(inside, recursive=True)
+        made, writer, held = [], None, None
+        written = 0
+
+        def opened() -> BlockFileWriter:
+            made.append(f"{folder}/{generation:04d}{at.partitionId():05d}-{len(made) + 1:02d}.tsm")
+            return BlockFileWriter(made[-1], f"tmp-{at.taskAttemptId()}")
+
+        def put(key: str, kind: str, times: np.ndarray, values) -> None:
+            nonlocal writer, written
+            if writer is not None and writer.full(key):
+                writer.close()
+                writer = None
+            writer = writer or opened()
             writer.write(key, kind, times, values)
+            written += len(times)
+
+        def flush(whole: bool) -> None:
+            """Writes what is held of the last key; without ``whole`` only full blocks."""
+            nonlocal held
+            key, kind, times, values = held
+            n = len(times) if whole else len(times) - len(times) % BLOCK_POINTS
+            if n:
+                put(key, kind, times[:n], values[:n])
+            held = None if whole else (key, kind, times[n:], values[n:])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).dictionary_encode()
+            codes = keys.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            times = batch.column(1).to_numpy()
+            for a, b in zip(cuts, cuts[1:]):
+                key = keys.dictionary[int(codes[a])].as_py()
+                of = [c for c in columns if batch.column(2 + columns.index(c)).slice(a, b - a).null_count < b - a]
+                column = batch.column(2 + columns.index(of[0])).slice(a, b - a)
+                if len(of) > 1 or column.null_count or (held and held[0] == key and held[1] != kinds[of[0]]):
+                    raise CodecError(f"{key} has values of several types")
+                kind = kinds[of[0]]
+                values = column.to_pylist() if kind == "string" else np.array([int(v) for v in column.to_pylist()], np.uint64) if kind == "unsigned" else column.to_numpy(zero_copy_only=False)
+                if held and held[0] != key:
+                    flush(True)
+                if held:
+                    values = held[3] + values if kind == "string" else np.concatenate([held[3], values])
+                    held = (key, kind, np.concatenate([held[2], times[a:b]]), values)
+                else:
+                    held = (key, kind, times[a:b], values)
+                flush(False)
+        if held and len(held[2]):
+            flush(True)
+        if writer is not None:
             writer.close()
-            import pyarrow as pa
-
-            yield pa.RecordBatch.from_pydict({"path": [path], "points": [n]}, schema=pa.schema([("path", pa.string()), ("points", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array([written] * len(made), pa.int64())], ["path", "points"])
 
-    spread = keyed.repartition(files, "key").sortWithinPartitions("key", "time_ns")
+    # ranges, so that a key with most of the points is spread too
+    spread = own.repartitionByRange(files, "key", "time_ns").sortWithinPartitions("key", "time_ns")
     return sorted(r["path"] for r in spread.mapInArrow(write, "path string, points bigint").collect())
-
-
-# -- series segments ------------------------------------------------------------------------------
-
-
-def encode_series_key(measurement: str, tags: list[tuple[str, str]]) -> bytes:
-    def text(t: str) -> bytes:
-        b = t.encode()
-        return struct.pack(">H", len(b)) + b
-
-    return text(measurement) + put_varint(len(tags)) + b"".join(text(k) + text(v) for k, v in tags)
-
-
-def decode_series_key(data: bytes, at: int = 0) -> tuple[str, list[tuple[str, str]], int]:
-    """(measurement, tags, where it ends)."""
-
-    def text() -> str:
-        nonlocal at
-        (n,) = struct.unpack_from(">H", data, at)
-        at += 2 + n
-        if at > len(data):
-            raise CodecError("a series key is cut off")
-        return data[at - n : at].decode()
-
-    try:
-        name = text()
-        count, at = get_varint(data, at)
-        return name, [(text(), text()) for _ in range(count)], at
-    except struct.error as e:
-        raise CodecError("a series key is cut off") from e
-
-
-def write_segment(path: str, entries: list[tuple[int, int, str | None, list[tuple[str, str]] | None]]) -> None:
-    """Entries (flag, series id, measurement, tags) as a log."""
-    with open(path + ".tmp", "wb") as f:
-        f.write(SEGMENT_HEADER + b"\x01")
-        for flag, number, name, tags in entries:
-            f.write(struct.pack(">BQ", flag, number) + (encode_series_key(name, tags or []) if flag == INSERT else b""))
-    os.replace(path + ".tmp", path)
-
-
-def read_segment(path: str) -> Iterator[tuple[int, int, str | None, list[tuple[str, str]] | None]]:
-    """The entries of a log; a zero flag ends it."""
-    with open(path, "rb") as f:
-        data = f.read()
-    if data[:4] != SEGMENT_HEADER or data[4:5] != b"\x01":
-        raise CodecError(f"{path} is not a series segment of version 1")
-    at = 5
-    while at < len(data) and data[at]:
-        if at + 9 > len(data):
-            raise CodecError(f"{path} is cut off")
-        flag, number = struct.unpack_from(">BQ", data, at)
-        at += 9
-        if flag == INSERT:
-            name, tags, at = decode_series_key(data, at)
-            yield flag, number, name, tags
-        elif flag == TOMBSTONE:
-            yield flag, number, None, None
-        else:
-            raise CodecError(f"unknown flag {flag}")
-
-
-def live_series(entries: DataFrame) -> DataFrame:
-    """(series_id, series_key) of a log's series without a tombstone."""
-    gone = entries.where(f"flag = {TOMBSTONE}").select("series_id").distinct()
-    return entries.where(f"flag = {INSERT}").join(gone, "series_id", "left_anti").select("series_id", "series_key")

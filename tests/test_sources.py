@@ -8,7 +8,8 @@ import pytest
 
 from chronolith.operators.storage import last_write
 from chronolith.sources import codecs as C
-from chronolith.sources.blockfile import INSERT, TOMBSTONE, BlockFileReader, BlockFileWriter, Entry, decode_series_key, encode_series_key, live_series, read_block_files, read_segment, write_block_files, write_segment
+from chronolith.sources.blockfile import BlockFileReader, BlockFileWriter, Entry, read_block_files, read_block_index, write_block_files
+from chronolith.sources.segments import INSERT, TOMBSTONE, decode_series_key, delete_series, encode_series_key, live_series, read_segment, read_segments, series_offsets, write_segment, write_segments
 
 
 def test_golden_file(tmp_path):
@@ -152,3 +153,78 @@ def test_series_segments(spark, tmp_path):
     open(path, "ab").write(b"\x07" + bytes(8))
     with pytest.raises(C.CodecError):
         list(read_segment(path))
+
+
+def test_index_lookups(tmp_path):
+    path = str(tmp_path / "a.tsm")
+    w = BlockFileWriter(path)
+    for k in ("b", "d", "f"):
+        w.write(k, "integer", [10, 20, 30], [1, 2, 3], block_points=2)
+    w.write("f", "integer", [40], [4])
+    for bad in (("f", "float", [50], [1.0]), ("f", "integer", [40], [1])):
+        with pytest.raises(ValueError):
+            w.write(*bad)
+    w.close()
+    r = BlockFileReader(path)
+    assert [r.seek(k) for k in ("a", "b", "c", "g")] == [0, 0, 1, 3] and [r.search(k) for k in ("d", "e")] == [1, None]
+    assert [r.key_at(k) for k in (0, 2, 3, -1)] == ["b", "f", None, None] and r.key_count() == 3
+    assert r.contains("d") and not r.contains("e") and r.contains("d", 30) and not r.contains("d", 25) and len(r.entries("f")) == 3
+    assert r.overlaps_keys("a", "b") and not r.overlaps_keys("g", "h") and r.overlaps_times(40, 90) and not r.overlaps_times(41, 90)
+    assert list(r.read("f", 20, 40)) == [(20, 2), (30, 3), (40, 4)]
+
+
+TYPED = "series_key string, field string, time_ns bigint, as_float double, as_integer bigint, as_boolean boolean, as_string string, as_unsigned decimal(20,0)"
+
+
+def test_a_heavy_key_and_all_types(spark, tmp_path):
+    """A key with most points is spread over files and blocks are whole; values of all types come back."""
+    folder = str(tmp_path / "f")
+    heavy = spark.range(20_000).selectExpr("'hot' series_key", "'v' field", "id * 7 time_ns", "cast(null as double) as_float", "id as_integer", "cast(null as boolean) as_boolean", "cast(null as string) as_string", "cast(null as decimal(20,0)) as_unsigned")
+    rest = [("m,a=é", "f", 5, 1.5, None, None, None, None), ("m,a=é", "b", 5, None, None, True, None, None), ("m,a=é", "s", 5, None, None, None, "", None), ("m,a=é", "u", 5, None, None, None, None, (1 << 64) - 1), ("m,a=é", "n", 5, None, None, None, None, None), (None, "n", 5, 1.0, None, None, None, None)]
+    paths = write_block_files(heavy.unionByName(spark.createDataFrame(rest, TYPED)), folder, 4)
+    assert len(paths) == 4
+    index = read_block_index(spark, folder)
+    of_hot = index.where("key = 'hot#!~#v'").collect()
+    assert len({r["path"] for r in of_hot}) >= 3 and sum(r["points"] for r in of_hot) == 20_000 and sorted(r["points"] for r in of_hot)[5:-1] == [1000] * (len(of_hot) - 6)
+    got = read_block_files(spark, folder, series=["m,a=é"]).collect()
+    assert sorted((r["field"], r["type"], r["as_float"], r["as_boolean"], r["as_string"], r["as_unsigned"]) for r in got) == [("b", "boolean", None, True, None, None), ("f", "float", 1.5, None, None, None), ("s", "string", None, None, "", None), ("u", "unsigned", None, None, None, str((1 << 64) - 1))]
+    mixed = spark.createDataFrame([("m", "f", 1, 1.0, None, None, None, None), ("m", "f", 2, None, 1, None, None, None)], TYPED)
+    with pytest.raises(Exception, match="values of several types"):
+        write_block_files(mixed, str(tmp_path / "mixed"), 1)
+    assert write_block_files(mixed.limit(0), str(tmp_path / "none"), 2) == [] and read_block_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_conditions_choose_blocks(spark, tmp_path):
+    """A damaged block that no condition wants is not read."""
+    folder = str(tmp_path / "f")
+    rows = [(k, "v", t, float(t)) for k in ("a", "b") for t in range(3000)]
+    (path,) = write_block_files(spark.createDataFrame(rows, "series_key string, field string, time_ns bigint, value double"), folder, 1)
+    e = BlockFileReader(path).entries("a#!~#v")[1]
+    raw = bytearray(open(path, "rb").read())
+    raw[e.offset + 9] ^= 1
+    open(path, "wb").write(raw)
+    df = read_block_files(spark, folder)
+    assert df.where("series_key = 'b'").count() == 3000 and df.where("time_ns < 1000").count() == 2000 and df.where("time_ns >= 2500 and field in ('v', 'w')").count() == 1000
+    assert df.where("series_key like 'b%'").count() == 3000 and df.where("series_key in ('b', 'c') and time_ns = 1500").count() == 1
+    with pytest.raises(Exception, match="damaged"):
+        df.count()
+
+
+def test_segments_roll_over(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "s")
+    ids = spark.range(1, 2001)
+    log = ids.select((F.pmod(F.col("id") - 1, F.lit(8))).alias("partition_id"), F.lit(INSERT).alias("flag"), F.col("id").alias("series_id"), F.lit("m").alias("measurement"), F.expr("array(struct('host' as tag, concat('h', id) as value))").alias("tags"))
+    n = write_segments(log, folder, first=2000)
+    back = read_segments(spark, folder)
+    assert n > 16 and back.count() == 2000 and back.select("partition_id", "offset").distinct().count() == 2000
+    at = {r["series_id"]: (r["partition_id"], r["offset"]) for r in series_offsets(back).collect()}
+    assert len(at) == 2000 and all(at[r["series_id"]] == (r["partition_id"], r["offset"]) for r in back.collect())
+    assert len({o >> 32 for p, o in at.values() if p == 0}) > 1
+    after = delete_series(back, spark.createDataFrame([(5,), (7,), (7,), (9999,)], "series_id bigint"))
+    write_segments(after, str(tmp_path / "t"))
+    again = read_segments(spark, str(tmp_path / "t"))
+    assert again.count() == 2002 and series_offsets(again).count() == 1998
+    assert series_offsets(delete_series(again, spark.createDataFrame([(5,)], "series_id bigint"))
+                          .withColumn("offset", F.lit(1))).count() == 1998
