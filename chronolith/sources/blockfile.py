@@ -310,9 +310,13 @@ class _Reader(DataSourceReader):
             match f:
                 case EqualTo(("time_ns",), v):
                     self.low, self.high = max(self.low, v), min(self.high, v)
-                case GreaterThan(("time_ns",), v) | GreaterThanOrEqual(("time_ns",), v):
+                case GreaterThan(("time_ns",), v):
+                    self.low = max(self.low, v + 1)
+                case GreaterThanOrEqual(("time_ns",), v):
                     self.low = max(self.low, v)
-                case LessThan(("time_ns",), v) | LessThanOrEqual(("time_ns",), v):
+                case LessThan(("time_ns",), v):
+                    self.high = min(self.high, v - 1)
+                case LessThanOrEqual(("time_ns",), v):
                     self.high = min(self.high, v)
                 case EqualTo(("series_key",), v):
                     self.series = frozenset([v]) & (self.series if self.series is not None else {v})

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from decimal import Decimal
 
 import pytest
 
@@ -180,7 +181,7 @@ def test_a_heavy_key_and_all_types(spark, tmp_path):
     """A key with most points is spread over files and blocks are whole; values of all types come back."""
     folder = str(tmp_path / "f")
     heavy = spark.range(20_000).selectExpr("'hot' series_key", "'v' field", "id * 7 time_ns", "cast(null as double) as_float", "id as_integer", "cast(null as boolean) as_boolean", "cast(null as string) as_string", "cast(null as decimal(20,0)) as_unsigned")
-    rest = [("m,a=é", "f", 5, 1.5, None, None, None, None), ("m,a=é", "b", 5, None, None, True, None, None), ("m,a=é", "s", 5, None, None, None, "", None), ("m,a=é", "u", 5, None, None, None, None, (1 << 64) - 1), ("m,a=é", "n", 5, None, None, None, None, None), (None, "n", 5, 1.0, None, None, None, None)]
+    rest = [("m,a=é", "f", 5, 1.5, None, None, None, None), ("m,a=é", "b", 5, None, None, True, None, None), ("m,a=é", "s", 5, None, None, None, "", None), ("m,a=é", "u", 5, None, None, None, None, Decimal((1 << 64) - 1)), ("m,a=é", "n", 5, None, None, None, None, None), (None, "n", 5, 1.0, None, None, None, None)]
     paths = write_block_files(heavy.unionByName(spark.createDataFrame(rest, TYPED)), folder, 4)
     assert len(paths) == 4
     index = read_block_index(spark, folder)
