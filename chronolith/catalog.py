@@ -51,6 +51,8 @@ class Measurement:
     database: str
     policy: str
     nanos: bool = False
+    #: makes the frame from what a statement needs: its bounds of time (nanoseconds, included), the values that tags must have one of, the fields it names (None: all)
+    scan: Callable[[int | None, int | None, dict[str, set[str]], set[str] | None], DataFrame] | None = None
 
     @property
     def schema(self) -> T.StructType:
@@ -133,7 +135,7 @@ class Catalog:
         self.measurements[database, policy, name] = lambda: self.add(name, load(), time, tags, database=database, policy=policy, **more)
 
     def replace_frame(self, m: Measurement, frame: DataFrame) -> None:
-        self.measurements[m.database, m.policy, m.name] = replace(m, frame=frame)
+        self.measurements[m.database, m.policy, m.name] = replace(m, frame=frame, scan=None)
 
     def drop(self, name: str, database: str | None = None) -> None:
         for key in [k for k in self.measurements if k[0] == (database or self.database) and k[2] == name]:

@@ -15,7 +15,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import SPARK_TYPES, Catalog, q
+from ..catalog import SPARK_TYPES, Catalog, Measurement, q
 from ..functions.registry import REGISTRY, lookup
 from ..lang import ast as A
 from ..lang.errors import AnalysisError
@@ -225,6 +225,23 @@ class Expressions:
         return Bounds()
 
 
+    def tag_values(self, node: A.Node | None) -> dict[str, set[str]]:
+        """The values of which a condition demands one of a tag, as far as all of it must hold."""
+        if isinstance(node, A.Group):
+            return self.tag_values(node.condition)
+        if not isinstance(node, A.Condition):
+            return {}
+        if node.op == "AND":
+            a, b = self.tag_values(node.left), self.tag_values(node.right)
+            return {t: a[t] & b[t] if t in a and t in b else a.get(t, b.get(t)) for t in {*a, *b}}
+        if node.op == "=" and not self._is_time(node.left) and not self._is_time(node.right):
+            sides = [n.expr if isinstance(n, A.Operand) else n for n in (node.left, node.right)]
+            for x, y in (sides, sides[::-1]):
+                if isinstance(x, A.VarRef) and self.reference(x).kind == "tag" and isinstance(y, A.Literal) and y.kind == "string":
+                    return {x.name: {y.value}}
+        return {}
+
+
 def micros_literal(us: int) -> Column:
     """A timestamp without zone as a literal, so that it reaches the scan."""
     from datetime import datetime, timedelta
@@ -315,7 +332,19 @@ class SelectPlanner:
         self.catalog, self.now_ns = catalog, now_ns
 
     # -- sources --------------------------------------------------------------------
-    def sources(self, node: A.Sources) -> Frame:
+    def needs(self, s: A.Select, m: Measurement) -> DataFrame:
+        """The points of a measurement that a statement needs; only sources that choose what they read make use of it."""
+        if m.scan is None:
+            return m.frame
+        own = Expressions(Frame(m.frame, m.tags, dict(m.fields), True, m.nanos), self.now_ns, s.zone.name if s.zone else None)
+        condition = s.where.condition if s.where else None
+        bounds = own.bounds(condition)
+        nodes = [n for part in (s.fields, s.where) if part for n in walk(part)]
+        named = {n.name for n in nodes if isinstance(n, (A.VarRef, A.Distinct))}
+        whole = any(isinstance(n, A.Wildcard) or (isinstance(n, A.Literal) and n.kind == "regex") for n in nodes)
+        return m.scan(bounds.low, bounds.high, own.tag_values(condition), None if whole else named)
+
+    def sources(self, node: A.Sources, statement: A.Select) -> Frame:
         frames, several = [], len(node.items) > 1
         for s in node.items:
             if isinstance(s, A.Subquery):
@@ -330,7 +359,7 @@ class SelectPlanner:
             found = self.catalog.find(s.database, s.policy, None if regex is not None else s.name.text, regex)
             if not found and regex is None:
                 raise AnalysisError(f"measurement not found: {s}")
-            frames += [(m.name, Frame(m.frame, m.tags, dict(m.fields), True, m.nanos)) for m in found]
+            frames += [(m.name, Frame(self.needs(statement, m), m.tags, dict(m.fields), True, m.nanos)) for m in found]
         if not frames:
             raise AnalysisError(f"no measurement matches {node}")
         if not several:
@@ -405,7 +434,7 @@ class SelectPlanner:
     # -- the statement -------------------------------------------------------------------
     def plan(self, s: A.Select) -> Frame:
         zone = s.zone.name if s.zone else None
-        src = self.sources(s.sources)
+        src = self.sources(s.sources, s)
         ex = Expressions(src, self.now_ns, zone)
         df = src.df
         bounds = Bounds()

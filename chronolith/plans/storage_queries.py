@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions.series_keys import key_measurement, key_of_parts, key_tags
 from ..lang import ast as A
 from ..lang.parser import parse_condition, parse_expression, parse_statement, parse_statements
@@ -17,10 +18,10 @@ from ..operators.regular import micros
 from ..operators.tombstones import TombstoneLog
 from ..session import parts_for, shared_folder
 from ..sources import segments
-from ..sources.blockfile import read_block_files, read_block_index, write_block_files
+from ..sources.blockfile import block_measurement, read_block_files, read_block_index, write_block_files
 from ..sources.codecs import count_packed_between, pack
 from .data_queries import KEY_SQL, _table
-from .language_queries import engine
+from .language_queries import NOW_NS, engine
 
 #: Bytes of the points' table for each block file.
 FILE_BYTES = 64 << 20
@@ -64,10 +65,17 @@ def block_file_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def block_file_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Two fields of a measurement's series in a range of time; the conditions choose the blocks that are read."""
-    points = read_block_files(spark, _block_files(spark, folder, "scan"))
-    own = points.where(F.col("series_key").startswith("cpu,") & F.col("field").isin("usage", "n") & (F.col("time_ns") >= 1_740_787_200 * 10**9) & (F.col("time_ns") < 1_740_873_600 * 10**9))
-    return own.select("series_key", "field", "time_ns", "as_float", "as_integer")
+    """Two fields of a measurement's series in a range of time; the options choose the blocks that are read."""
+    at = _block_files(spark, folder, "scan")
+    points = read_block_files(spark, at, keyprefix="cpu,", fields=["usage", "n"], mintime=1_740_787_200 * 10**9, maxtime=1_740_873_600 * 10**9 - 1)
+    return points.select("series_key", "field", "time_ns", "as_float", "as_integer")
+
+
+def block_file_select(spark: SparkSession, folder: str) -> DataFrame:
+    """Block files as a measurement of the language; its WHERE chooses the blocks."""
+    e = Engine(spark, now_ns=NOW_NS)
+    block_measurement(e.catalog, "cpu", _block_files(spark, folder, "select"), ["host"], {"usage": "float", "n": "integer", "ok": "boolean", "note": "string", "u": "unsigned"})
+    return e.sql("SELECT count(n), max(usage) AS most, last(ok) AS latest FROM cpu WHERE time >= '2025-03-01' AND time < '2025-03-02' AND n > 100 GROUP BY host, TIME(6h) FILL(none)")
 
 
 def block_file_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,7 +295,7 @@ def explain_analyze(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = (
-    block_file_points, block_file_scan, block_file_index, block_file_counts, block_file_merge, packed_counts, segment_entries, segment_partitions, segment_offsets, segment_deletes, create_series_ids, tombstone_ranges,
+    block_file_points, block_file_scan, block_file_select, block_file_index, block_file_counts, block_file_merge, packed_counts, segment_entries, segment_partitions, segment_offsets, segment_deletes, create_series_ids, tombstone_ranges,
     series_sketch_bounds, key_pruning, include_range, seek_back, statement_texts, where_in, where_true, dotted_names, delete_where, show_everywhere, show_keys, explain_analyze,
 )
 
@@ -316,6 +324,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "block_file_points": points,
         "block_file_scan": f"SELECT series_key, field, time_ns, as_float, as_integer FROM ({points}) WHERE series_key LIKE 'cpu,%' AND field IN ('usage', 'n') AND time_ns >= 1740787200000000000 AND time_ns < 1740873600000000000",
+        "block_file_select": f"""WITH p AS (SELECT series_key, time_ns, max(as_integer) AS n, max(as_float) AS usage, max(as_boolean) AS ok FROM ({points}) WHERE series_key LIKE 'cpu,%' AND time_ns >= 1740787200000000000 AND time_ns < 1740873600000000000 GROUP BY ALL)
+            SELECT time_ns - time_ns % 21600000000000 AS time, substr(series_key, 10) AS host, count(n) AS count, max(usage) AS most, arg_max(ok, time_ns) AS latest FROM p WHERE n > 100 GROUP BY ALL""",
         "block_file_index": f"SELECT series_key || '#!~#' || field AS key, type, min(time_ns) AS min_time, max(time_ns) AS max_time, count(*) AS points FROM ({points}) GROUP BY ALL",
         "block_file_counts": f"SELECT count(DISTINCT series_key || '#!~#' || field) AS keys, count(DISTINCT series_key) AS series, count(*) AS points FROM ({points})",
         "block_file_merge": """WITH p AS (SELECT measurement || ',host=' || host AS series_key, epoch_us(time) * 1000 AS time_ns, n FROM readings WHERE measurement IS NOT NULL AND host IS NOT NULL AND time IS NOT NULL AND n IS NOT NULL)

@@ -12,9 +12,10 @@ from __future__ import annotations
 import bisect
 import fnmatch
 import json
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,10 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..catalog import SPARK_TYPES, Catalog
+from ..functions.series_keys import key_measurement, key_tags
 from .codecs import TYPES, CodecError, block_arrays, block_count, decode_block, encode_block
 
 # The magic number and version, limits, the mark between series and field.
@@ -303,32 +306,8 @@ class _Reader(DataSourceReader):
         self.prefix = options.get("keyprefix", "")
         #: what a series key or a field must be one of
         self.series, self.fields = (frozenset(json.loads(options[o])) if o in options else None for o in ("series", "fields"))
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Conditions on time, series and field choose blocks; Spark still applies all of them to the rows."""
-        for f in filters:
-            match f:
-                case EqualTo(("time_ns",), v):
-                    self.low, self.high = max(self.low, v), min(self.high, v)
-                case GreaterThan(("time_ns",), v):
-                    self.low = max(self.low, v + 1)
-                case GreaterThanOrEqual(("time_ns",), v):
-                    self.low = max(self.low, v)
-                case LessThan(("time_ns",), v):
-                    self.high = min(self.high, v - 1)
-                case LessThanOrEqual(("time_ns",), v):
-                    self.high = min(self.high, v)
-                case EqualTo(("series_key",), v):
-                    self.series = frozenset([v]) & (self.series if self.series is not None else {v})
-                case In(("series_key",), v):
-                    self.series = frozenset(v) & (self.series if self.series is not None else frozenset(v))
-                case EqualTo(("field",), v):
-                    self.fields = frozenset([v]) & (self.fields if self.fields is not None else {v})
-                case In(("field",), v):
-                    self.fields = frozenset(v) & (self.fields if self.fields is not None else frozenset(v))
-                case StringStartsWith(("series_key",), v) if v.startswith(self.prefix):
-                    self.prefix = v
-            yield f
+        self.measurement = options.get("measurement")
+        self.tags: dict[str, list[str]] = json.loads(options.get("tags", "{}"))
 
     def partitions(self) -> list[InputPartition]:
         out, part, size = [], [], 0
@@ -346,7 +325,12 @@ class _Reader(DataSourceReader):
 
     def wanted(self, key: str) -> bool:
         series, _, field = key.partition(FIELD_MARK)
-        return key.startswith(self.prefix) and (self.series is None or series in self.series) and (self.fields is None or field in self.fields)
+        if not key.startswith(self.prefix) or (self.series is not None and series not in self.series) or (self.fields is not None and field not in self.fields):
+            return False
+        if self.measurement is None and not self.tags:
+            return True
+        name, own = parts_of(series)
+        return self.measurement in (None, name) and all(own.get(t, "") in values for t, values in self.tags.items())
 
     def read(self, partition: _Stretches) -> Iterator[pa.RecordBatch]:
         batch = _Batch()
@@ -371,12 +355,24 @@ class _Reader(DataSourceReader):
             yield batch.made()
 
 
+def parts_of(series_key: str) -> tuple[str, dict[str, str]]:
+    """(measurement, tags) of a key text; a backslash makes a comma, an equals sign or a blank part of a name or value."""
+    name, *pieces = re.split(r"(?<!\\),", series_key)
+    pairs = (re.split(r"(?<!\\)=", p, maxsplit=1) for p in pieces)
+    plain = lambda t: re.sub(r"\\([,= ])", r"\1", t)
+    return plain(name), {plain(p[0]): plain(p[1]) for p in pairs if len(p) == 2 and p[1]}
+
+
 class BlockFileSource(DataSource):
     """``spark.read.format("blockfile").load(path)``: all points of a file or of a folder's *.tsm files.
 
-    Conditions on time_ns, series_key and field leave out blocks before they
-    are read; so do the options ``mintime`` and ``maxtime`` (nanoseconds,
-    included), ``keyprefix``, and ``series`` and ``fields`` (JSON lists).
+    Options choose the blocks that are read: ``mintime`` and ``maxtime``
+    (nanoseconds, included), ``keyprefix``, ``measurement``, ``series`` and
+    ``fields`` (JSON lists) and ``tags`` (a JSON object of the values that a tag may have, the
+    empty text for none).  Conditions on the DataFrame choose nothing: Spark 4.1
+    keeps the filters that one query pushed into a Python source for the next
+    query over the same DataFrame.  A measurement bound by
+    ``block_measurement`` gets these options from a statement's WHERE.
     ``file_seq`` numbers the files by name, so that ``last_write`` merges
     overlapping ones.  as_unsigned is text, since it may exceed a long.
     """
@@ -393,15 +389,37 @@ class BlockFileSource(DataSource):
 
 
 def read_block_files(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """The points of block files; ``options`` as of ``BlockFileSource``, lists as lists."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """The points of block files; ``options`` as of ``BlockFileSource``, lists and objects as they are."""
     spark.dataSource.register(BlockFileSource)
     reader = spark.read.format("blockfile")
     for k, v in options.items():
-        reader = reader.option(k, json.dumps(list(v)) if isinstance(v, (list, tuple, set, frozenset)) else str(v))
+        reader = reader.option(k, json.dumps(v) if isinstance(v, dict) else json.dumps(sorted(v)) if isinstance(v, (list, tuple, set, frozenset)) else str(v))
     return reader.load(path)
 
 
+def block_measurement(catalog: Catalog, name: str, path: str, tags: list[str], fields: dict[str, str]) -> None:
+    """Binds a folder of block files as a measurement with times in nanoseconds; ``fields`` are names and types.
+
+    A statement reads the blocks of its bounds of time, its tags' values and the
+    fields it names.  Of a series, field and time the latest file's value counts.
+    """
+    spark = catalog.spark
+
+    def points(low: int | None, high: int | None, wanted: dict[str, set[str]], used: set[str] | None) -> DataFrame:
+        own = [f for f in fields if used is None or f in used] or list(fields)[:1]
+        bounds = {k: v for k, v in (("mintime", low), ("maxtime", high)) if v is not None}
+        if wanted:
+            bounds["tags"] = {t: sorted(v) for t, v in wanted.items()}
+        rows = read_block_files(spark, path, measurement=name, fields=own, **bounds)
+        rows = rows.where(key_measurement("series_key") == name)
+        cells = [F.max_by(F.when(F.col("field") == f, F.col(f"as_{fields[f]}")), F.when(F.col("field") == f, F.col("file_seq"))).cast(SPARK_TYPES[fields[f]]).alias(f) for f in own]
+        wide = rows.groupBy("series_key", "time_ns").agg(*cells).withColumn("__tags", F.map_from_entries(key_tags("series_key")))
+        missing = [F.lit(None).cast(SPARK_TYPES[fields[f]]).alias(f) for f in fields if f not in own]
+        return wide.select(F.col("time_ns").alias("time"), *[F.try_element_at("__tags", F.lit(t)).alias(t) for t in tags], *own, *missing)
+
+    catalog.add(name, points(None, None, {}, None), "time", tags, list(fields), nanos=True, finite=True).scan = points
+
+
 _INDEX = "file_seq int, path string, key string, place int, type string, min_time bigint, max_time bigint, block_offset bigint, block_size bigint, points bigint"
 
 

@@ -7,9 +7,10 @@ from decimal import Decimal
 
 import pytest
 
+from chronolith.engine import Engine
 from chronolith.operators.storage import last_write
 from chronolith.sources import codecs as C
-from chronolith.sources.blockfile import BlockFileReader, BlockFileWriter, Entry, read_block_files, read_block_index, write_block_files
+from chronolith.sources.blockfile import BlockFileReader, BlockFileWriter, Entry, block_measurement, read_block_files, read_block_index, parts_of, write_block_files
 from chronolith.sources.segments import INSERT, TOMBSTONE, decode_series_key, delete_series, encode_series_key, live_series, read_segment, read_segments, series_offsets, write_segment, write_segments
 
 
@@ -204,11 +205,21 @@ def test_conditions_choose_blocks(spark, tmp_path):
     raw = bytearray(open(path, "rb").read())
     raw[e.offset + 9] ^= 1
     open(path, "wb").write(raw)
-    df = read_block_files(spark, folder)
-    assert df.where("series_key = 'b'").count() == 3000 and df.where("time_ns < 1000").count() == 2000 and df.where("time_ns >= 2500 and field in ('v', 'w')").count() == 1000
-    assert df.where("series_key like 'b%'").count() == 3000 and df.where("series_key in ('b', 'c') and time_ns = 1500").count() == 1
+    n = lambda **o: read_block_files(spark, folder, **o).count()
+    assert n(keyprefix="b") == n(series=["b", "c"]) == n(tags={"x": ["", "y"]}, series=["b"]) == 3000 and n(maxtime=999) == 2000 and n(mintime=2500, fields=["v", "w"]) == 1000 and n(tags={"x": ["y"]}) == 0
     with pytest.raises(Exception, match="damaged"):
-        df.count()
+        n()
+    e = Engine(spark)
+    block_measurement(e.catalog, "b", folder, ["host"], {"v": "float", "w": "integer"})
+    assert e.sql("SELECT count(v) FROM b WHERE time < 10 OR time > 2990").first()["count"] == 19 and e.sql("SELECT max(v) FROM b WHERE (time < 10) AND host = ''").first()["max"] == 9.0
+    block_measurement(e.catalog, "a", folder, ["host"], {"v": "float"})
+    assert e.sql("SELECT count(v) FROM a WHERE time >= 2000us * 1 - 1997000").first()["count"] == 0 and e.sql("SELECT v FROM a WHERE time >= 2990").count() == 10
+    with pytest.raises(Exception, match="damaged"):
+        e.sql("SELECT count(v) FROM a WHERE time > 5 OR host = 'x'").collect()
+
+
+def test_parts_of_a_key():
+    assert parts_of("m\\,x,a=1,b=c\\,d\\=e=f,g=,h,i\\ j= k") == ("m,x", {"a": "1", "b": "c,d=e=f", "i j": " k"})
 
 
 def test_segments_roll_over(spark, tmp_path):
