@@ -73,6 +73,24 @@ def test_partial_results_merge(spark):
     assert sorted(map(tuple, merge_sketches(parts).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
 
 
+def test_sketches_merge_in_a_tree(spark, monkeypatch):
+    """A task sends one sketch a group, and no row of a merge holds more than FAN_IN of them."""
+    from chronolith.llm import distinct
+
+    monkeypatch.setattr(distinct, "FAN_IN", 3)
+    df = spark.range(30_000).select((F.col("id") % 3000).alias("g"), (F.col("id") % 7).alias("h"), F.col("id").cast("string").alias("k"))
+    made, tasks = distinct.partial_sketches(df, F.col("k"), ["g", "h"])
+    made = made.cache()
+    assert tasks == 12 and made.groupBy("g", "h", "totals", "__task").count().agg(F.max("count")).first()[0] == 1
+    assert made.where("totals = 3").count() == 12
+    merged = merge_sketches(made, tasks=tasks)
+    plan = merged._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 4  # one makes them, three levels merge 12, 4 and 2
+    whole = merged.where("totals = 3").first()["sketch"]
+    assert whole == merge([r["sketch"] for r in made.where("totals = 3").collect()])
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, merge_sketches(made.drop("__task")).collect()), key=str)
+
+
 def test_no_rows_and_no_groups(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
     assert sketch(df.limit(0), F.col("k"), []).count() <= 1
