@@ -2,11 +2,11 @@
 
 Partitions are packed by best-fit decreasing, and lower bounds from
 dual-feasible functions certify those that no packing of their own texts could
-better.  The emptiest containers are then exchanged: a round gathers them from
-several partitions and packs them again, until a round has one partition left or
-the bound over all its texts certifies that it has no container too many.  A
-partition that is certified alone still exchanges: with the texts of others it
-may need fewer.  Each round handles a small part of what the one before it had.
+better.  A certified partition keeps its containers, but for the emptiest one,
+which others may fill; one with more containers than its bound sends the
+emptiest half on.  What is sent is dealt to as many new partitions as its count
+asks for and packed again, until nothing is sent, one partition holds all of it,
+the bound over a round certifies it as a whole, or a round gains nothing.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from .encoding import VOCABULARY, encode_texts
 
 #: Texts that a partition packs; bounds a task's memory.
 PART_ITEMS = 20_000
-#: Partitions whose containers come together in the next round.
-FAN_IN = 8
-#: Share of a partition's unused space that goes on to the next round.
+#: Share of an uncertified partition's unused space that goes on to the next round, in at most half of its containers.
 EXCHANGED = 0.9
+#: A round that saves a smaller share of its containers is the last.
+LEAST_GAIN = 0.001
 #: A table of capacities is a parameter; more rows than this are an error.
 MOST_PACKS = 1000
 
@@ -95,13 +95,13 @@ _ITEM = "pack_id long, capacity long, part long, row_no long, doc_id long, piece
 _HELD = "pack_id long, capacity long, container string, doc_id long, piece long, token_from long, n_tokens long"
 
 
-def _packer(round_no: int, last: bool):
+def _packer(round_no: int, last: bool, part_items: int):
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("row_no", "ascending"), ("piece", "ascending")])
         capacity, part = table["capacity"][0].as_py(), key[1].as_py()
         sizes = table["n_tokens"].to_numpy()
         bins = best_fit_decreasing(sizes, capacity)
-        before = table["container"].combine_chunks()
+        before = table["container"].combine_chunks().cast(pa.string())
         if before.null_count == 0 and len(before.unique()) <= bins.max(initial=-1) + 1:
             # the exchange gained nothing here
             bins = before.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -112,15 +112,14 @@ def _packer(round_no: int, last: bool):
         least = min(count, max(1, lower_bound(values, times, capacity)))
         if not last and count:
             room = capacity - fill
-            spare = room.sum() >= capacity
-            # A partition without room for a container only lends its unfilled ones.
             order = np.argsort(-room, kind="stable")
-            upto = np.searchsorted(np.cumsum(room[order]), EXCHANGED * room.sum()) + 1
-            goes[order[: min(upto, max(1, count // 2)) if spare else min(upto, max(1, count // 8))]] = True
-            goes &= room > 0
+            upto = min(np.searchsorted(np.cumsum(room[order]), EXCHANGED * room.sum()) + 1, max(1, count // 2)) if count > least else 1
+            goes[order[:upto]] = True
+            # containers of very many tiny texts stay, so that what meets in a partition is bounded
+            goes &= (room > 0) & (np.bincount(bins, minlength=count) <= max(1, part_items // 4))
         names = np.array([f"{round_no}.{part}.{b}" for b in range(count)], object)
         out = table.set_column(table.schema.get_field_index("container"), "container", pa.array(names[bins], pa.string()))
-        return out.append_column("goes", pa.array(goes[bins], pa.bool_())).append_column("least", pa.array(np.full(len(bins), least), pa.int64()))
+        return out.append_column("before", before).append_column("goes", pa.array(goes[bins], pa.bool_())).append_column("least", pa.array(np.full(len(bins), least), pa.int64()))
 
     return pack
 
@@ -178,18 +177,29 @@ def partition_bounds(sizes: DataFrame, packs: DataFrame, part_items: int = PART_
     return out.select("pack_id", "capacity", "round", "part", "containers", "least", (F.col("containers") <= F.col("least")).alias("certified"), "sent")
 
 
-def _settled(packed: DataFrame) -> list[int]:
-    """The packs of a round whose containers, taken over all partitions, are as few as any packing of their texts could have."""
+def _settled(packed: DataFrame, first: bool) -> tuple[list[int], int]:
+    """The packs of a round that are done, and the most items that one of the others sends on.
+
+    Done are those whose containers, taken over all partitions, are as few as
+    any packing of their texts could have, that sent nothing, or that a round
+    after the first saved too little for.
+    """
 
     def bound(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         least = lower_bound(table["n_tokens"].to_numpy(), table["count"].to_numpy(), key[1].as_py())
         return pa.table({"pack_id": pa.array([key[0].as_py()], pa.int64()), "least": pa.array([max(1, least)], pa.int64())})
 
-    bounds = packed.groupBy("pack_id", "capacity", "n_tokens").count().groupBy("pack_id", "capacity").applyInArrow(bound, "pack_id long, least long")
-    have = packed.groupBy("pack_id").agg(F.count_distinct("container").alias("containers"))
-    # packs are at most MOST_PACKS; one without items in this round has nothing to send either
-    met = {r["pack_id"]: r["least"] for r in bounds.groupBy("pack_id").agg(F.sum("least").alias("least")).collect()}
-    return [r["pack_id"] for r in have.collect() if r["containers"] <= met[r["pack_id"]]]
+    # sizes are whole and at most the capacity, so a pack has no more of them than that
+    bounds = packed.groupBy("pack_id", "capacity", "n_tokens").count().groupBy("pack_id", "capacity").applyInArrow(bound, "pack_id long, least long").groupBy("pack_id").agg(F.sum("least").alias("least"))
+    have = packed.groupBy("pack_id").agg(F.count_distinct("container").alias("now"), F.count_distinct("before").alias("before"), F.sum(F.col("goes").cast("long")).alias("sent"))
+    done, most = [], 0
+    # packs are at most MOST_PACKS
+    for r in have.join(bounds, "pack_id").collect():
+        if r["now"] <= r["least"] or not r["sent"] or (not first and r["before"] - r["now"] < LEAST_GAIN * r["before"]):
+            done.append(r["pack_id"])
+        else:
+            most = max(most, r["sent"])
+    return done, most
 
 
 def _rounds(sizes: DataFrame, capacities: list[tuple[int, int]], part_items: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -206,21 +216,20 @@ def _rounds(sizes: DataFrame, capacities: list[tuple[int, int]], part_items: int
     rest = each.withColumn("left", F.col("n_tokens") - F.col("whole") * F.col("capacity")).where("left > 0 or whole = 0").select(
         "pack_id", "capacity", F.pmod(F.xxhash64("row_no"), F.lit(parts)).alias("part"), "row_no", "doc_id", F.col("whole").alias("piece"), (F.col("whole") * F.col("capacity")).alias("token_from"), F.col("left").alias("n_tokens"), F.lit(None).cast("string").alias("container")
     )
-    rounds, round_no = [], 0
+    rounds: list[DataFrame] = []
     while True:
         last = parts == 1
-        packed = rest.groupBy("pack_id", "part").applyInArrow(_packer(round_no, last), _ITEM + ", goes boolean, least long")
-        if not last:
-            packed = packed.checkpoint()
-            settled = _settled(packed)
-            packed = packed.withColumn("goes", F.col("goes") & ~F.col("pack_id").isin(settled))
-            last = len(settled) == len({p for p, _ in capacities})
-        rounds.append(packed)
+        packed = rest.groupBy("pack_id", "part").applyInArrow(_packer(len(rounds), last, part_items), _ITEM + ", before string, goes boolean, least long")
         if last:
-            break
-        parts, round_no = -(-parts // FAN_IN), round_no + 1
-        rest = packed.where("goes").drop("goes", "least").withColumn("part", F.pmod(F.xxhash64("container", F.lit(round_no)), F.lit(parts)))
-    return full, rounds
+            return full, [*rounds, packed]
+        packed = packed.checkpoint()
+        done, sent = _settled(packed, not rounds)  # sent is 0 if all are done
+        rounds.append(packed.withColumn("goes", F.col("goes") & ~F.col("pack_id").isin(done)))
+        if not sent:
+            return full, rounds
+        # as many partitions as what is sent needs; containers stay whole, so a little more may meet in one
+        parts = -(-sent // part_items)
+        rest = rounds[-1].where("goes").drop("goes", "least", "before").withColumn("part", F.pmod(F.xxhash64("container", F.lit(len(rounds))), F.lit(parts)))
 
 
 def packing_report(sizes: DataFrame, packs: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -186,6 +186,29 @@ def test_certified_packings_are_not_exchanged(spark):
     assert partition_bounds(df, p.limit(0)).collect() == []
 
 
+def test_rounds_shrink_and_certified_partitions_stay(spark, monkeypatch):
+    """Texts of 600 for a capacity of 1024 leave nothing to exchange; uncertified partitions send at most half; empty texts don't gather in one task."""
+    p = spark.createDataFrame([(1, 1024)], "pack_id bigint, capacity_tokens bigint")
+    same = spark.createDataFrame([(i, 600) for i in range(4000)], "doc_id bigint, n_tokens bigint")
+    assert {r["round"] for r in partition_bounds(same, p, part_items=60).collect()} == {0}
+    rng = random.Random(6)
+    mixed = spark.createDataFrame([(i, rng.choice([300, 350, 520, rng.randrange(1, 1025)])) for i in range(3000)], "doc_id bigint, n_tokens bigint")
+    found = partition_bounds(mixed, p, part_items=60).collect()
+    for r in found:
+        assert r["certified"] == (r["containers"] == r["least"]) and r["sent"] <= (1 if r["certified"] else max(1, r["containers"] // 2))
+    by_round = {k: sum(r["containers"] for r in found if r["round"] == k) for k in {r["round"] for r in found}}
+    assert len(by_round) > 1 and all(by_round[k + 1] <= 0.6 * by_round[k] for k in range(len(by_round) - 1))
+    assert any(not r["certified"] for r in found)
+    rows = pack_texts(mixed, p, part_items=60).collect()
+    assert check_packing([(r["doc_id"], r["n_tokens"]) for r in mixed.collect()], [(1, 1024)], rows)
+    empty = spark.createDataFrame([(i, 0) for i in range(1000)], "doc_id bigint, n_tokens bigint")
+    assert max(Counter(r["container"] for r in pack_texts(empty, p, part_items=60).collect()).values()) <= 120
+    # by volume alone no partition of the first table would be certified
+    from chronolith.llm import packing
+
+    assert packing.lower_bound(np.array([600]), np.array([60]), 1024) == 60 > -(-60 * 600 // 1024)
+
+
 def test_packing_of_nothing_and_repeats(spark):
     p = spark.createDataFrame([(1, 10)], "pack_id bigint, capacity_tokens bigint")
     assert pack_texts(spark.createDataFrame([], "doc_id bigint, n_tokens bigint"), p).collect() == []
