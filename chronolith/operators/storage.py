@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import q
-
-#: A table of tombstones over this size is joined by shuffling.
-BROADCAST_ROWS = 100_000
+from .regular import micros
 
 
 def last_write(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the one written last by ``order``; ties by all other columns, so that it is the same row in every run.
 
-    Predicates on the keys pass below it, those on other columns don't.
+    Nulls come before all values.  Writes of a key are compared within tasks
+    before they are shuffled.  Predicates on the keys pass below it, those on
+    other columns don't.  Columns without an order (maps) are not allowed.
     """
     rest = [c for c in points.columns if c not in keys and c not in order]
-    line = Window.partitionBy(*[q(k) for k in keys]).orderBy(*[q(c).desc_nulls_last() for c in (*order, *rest)])
-    return points.withColumn("__n", F.row_number().over(line)).where("__n = 1").drop("__n")
+    whole = F.struct(*[q(c).alias(f"c{i}") for i, c in enumerate([*order, *rest])])
+    last = points.groupBy(*[q(k) for k in keys]).agg(F.max(whole).alias("__last"))
+    own = {c: F.col("__last").getField(f"c{i}").alias(c) for i, c in enumerate([*order, *rest])}
+    return last.select(*[own.get(c, q(c)) for c in points.columns])
 
 
 def merge_files(files: list[DataFrame], keys: list[str], sequence: str = "file_seq") -> DataFrame:
@@ -51,19 +54,44 @@ def coalesce_ranges(tombstones: DataFrame, keys: list[str], low: str = "min_time
     return marked.withColumn("__i", island).groupBy(*[q(k) for k in keys], "__i").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("__i")
 
 
-def apply_tombstones(points: DataFrame, tombstones: DataFrame, keys: list[str], time: str = "time", low: str = "min_time", high: str = "max_time", few: bool | None = None) -> DataFrame:
+def apply_tombstones(points: DataFrame, tombstones: DataFrame, keys: list[str], time: str = "time", low: str = "min_time", high: str = "max_time", few: bool = False, stretch: int | None = None) -> DataFrame:
     """Points that no tombstone of their key covers, both ends included.
 
-    Null keys match null keys.  Tombstones are merged first and broadcast only
-    if a count shows that they are few; ``few`` says so without counting.
+    Null keys match null keys; points without a time stay.  Points and beginnings
+    of tombstones are put in order within stretches of time (``stretch`` in units
+    of the time, an hour by default), with the farthest end of all tombstones that
+    begin before a stretch carried into it: a point is covered if an end that is
+    known there reaches it.  So neither many points nor many tombstones of one
+    key meet in a task.  ``few`` says that the tombstones are few enough to be
+    broadcast, merged.
     """
-    ranges = coalesce_ranges(tombstones, keys, low, high).select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], q(low).alias("__low"), q(high).alias("__high"))
-    if few is None:
-        few = ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    on = q(time).between(F.col("__low"), F.col("__high"))
-    for i, k in enumerate(keys):
-        on = on & q(k).eqNullSafe(F.col(f"__k{i}"))
-    return points.join(F.broadcast(ranges) if few else ranges, on, "left_anti")
+    if few:
+        ranges = coalesce_ranges(tombstones, keys, low, high).select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], q(low).alias("__low"), q(high).alias("__high"))
+        on = q(time).between(F.col("__low"), F.col("__high"))
+        for i, k in enumerate(keys):
+            on = on & q(k).eqNullSafe(F.col(f"__k{i}"))
+        return points.join(F.broadcast(ranges), on, "left_anti")
+    long = isinstance(points.schema[time].dataType, (T.LongType, T.IntegerType))
+    ticks = (lambda c: c.cast("long")) if long else micros
+    size = stretch or (3_600 * 10**9 if long else 3_600 * 10**6)
+    names = [f"__k{i}" for i in range(len(keys))]
+    kinds = [points.schema[k].dataType for k in keys]
+    whole = F.struct(*[q(c).alias(f"c{i}") for i, c in enumerate(points.columns)])
+    at = F.expr(f"__t div {size} - if(__t % {size} < 0, 1, 0)")
+    begins = tombstones.where(q(low) <= q(high)).select(*[q(k).cast(t).alias(n) for k, t, n in zip(keys, kinds, names)], ticks(q(low)).alias("__t"), ticks(q(high)).alias("__end")).withColumn("__at", at)
+    places = points.select(*[q(k).alias(n) for k, n in zip(keys, names)], ticks(q(time)).alias("__t"), whole.alias("__row")).withColumn("__at", at)
+    # a row for each key and stretch, with the farthest end that begins in it
+    ends = begins.groupBy(*names, "__at").agg(F.max("__end").alias("__end")).unionByName(places.select(*names, "__at").distinct().withColumn("__end", F.lit(None).cast("long"))).groupBy(*names, "__at").agg(F.max("__end").alias("__end"))
+    carried = ends.withColumn("__end", F.max("__end").over(Window.partitionBy(*names).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))).where("__end is not null and __at is not null")
+    none = F.lit(None).cast(places.schema["__row"].dataType)
+    rows = (
+        places.withColumns({"__end": F.lit(None).cast("long"), "__order": F.lit(1)})
+        .unionByName(begins.withColumns({"__row": none, "__order": F.lit(0)}))
+        .unionByName(carried.withColumns({"__t": F.lit(None).cast("long"), "__row": none, "__order": F.lit(0)}))
+    )
+    line = Window.partitionBy(*names, "__at").orderBy(F.col("__t").asc_nulls_first(), "__order").rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows.withColumn("__reach", F.max("__end").over(line)).where(F.col("__row").isNotNull() & ~F.coalesce(F.col("__reach") >= F.col("__t"), F.lit(False)))
+    return kept.select(*[F.col("__row").getField(f"c{i}").alias(c) for i, c in enumerate(points.columns)])
 
 
 def delete_keys(points: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -174,3 +174,23 @@ def test_tombstone_log(spark, tmp_path):
     assert rows(S.apply_tombstones(points, log.walk(), ["key"])) == [("a", 6)]
     log.delete()
     assert not log.has_tombstones()
+
+
+def test_many_tombstones_of_one_key(spark):
+    """Neither the ranges nor the points of a key meet in one task; null keys, null and odd times."""
+    rng = random.Random(8)
+    ranges = [("hot", a, a + rng.choice([-1, 0, 3, 40, 5000])) for a in rng.sample(range(-50_000, 200_000), 3000)] + [(None, 5, 10), ("all", -(1 << 63), (1 << 63) - 1), ("late", 90_000, 1 << 60)]
+    points = [(k, t, i) for i, (k, t) in enumerate([(rng.choice(["hot"] * 8 + [None, "all", "late", "free"]), rng.choice([None, rng.randrange(-60_000, 210_000)])) for _ in range(5000)])]
+    p = spark.createDataFrame(points, "k string, time bigint, n int")
+    g = spark.createDataFrame(ranges, "k string, min_time bigint, max_time bigint")
+    want = sorted(n for k, t, n in points if t is None or not any(k == kk and a <= t <= b for kk, a, b in ranges))
+    for more in ({"stretch": 1000}, {"stretch": 7}, {}, {"few": True}):
+        kept = S.apply_tombstones(p, g, ["k"], **more)
+        assert kept.columns == ["k", "time", "n"] and sorted(r["n"] for r in kept.collect()) == want
+    assert S.apply_tombstones(p, g.limit(0), ["k"]).count() == 5000 and S.apply_tombstones(p.limit(0), g, ["k"]).collect() == []
+
+
+def test_last_write_keeps_whole_rows(spark):
+    rows = [("a", 1, None, 5, "x"), ("a", 1, 3, None, "y"), ("a", 1, 3, 7, None), ("b", 2, None, None, None), ("b", 2, None, None, None), (None, 1, 1, 1, "z")]
+    got = S.last_write(spark.createDataFrame(rows, "k string, t int, seq int, v int, s string"), ["k", "t"], ["seq"])
+    assert got.columns == ["k", "t", "seq", "v", "s"] and sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1, 3, 7, None), ("b", 2, None, None, None), (None, 1, 1, 1, "z")], key=str)
