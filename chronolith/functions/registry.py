@@ -31,6 +31,8 @@ class Function:
     numeric: bool = True
     #: what a transform needs of all that is before a stretch of its series: the last point or the sum; None: all of it
     carry: str | None = None
+    #: how many points, with its own, a transform needs for each, from its arguments
+    rows: Callable[[list], int] | None = None
 
 
 REGISTRY: dict[str, Function] = {}
@@ -101,14 +103,12 @@ register_function("bottom", Function("rows", (2, 9), lambda v, t, a: (int(a[-1])
 register_function("sample", Function("rows", (2, 2), lambda v, t, a: (int(a[-1]), [F.xxhash64(t, v).asc(), t.asc()]), numeric=False))
 
 
-# transforms: build(value, ticks, args, series, unit[, before]): ticks is the time as a long, of which ``unit`` make a
-# second; ``series`` is the window of the series, or of a stretch of it with what is ``before`` it (see ``carry``)
+# transforms: build(value, ticks, args, series, unit): ticks is the time as a long, of which ``unit`` make a second;
+# ``series`` is the window of the series, or of a part of it that begins with what is needed from before (``carry``, ``rows``)
 def _lagged(make: Callable[[Column, Column, Column, Column], Column]) -> Callable:
-    def build(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int, before: Column | None = None) -> Column:
+    def build(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int) -> Column:
         # the point before with a value
         old = F.last(F.when(v.isNotNull(), F.struct(ticks.alias("t"), v.alias("v"))), ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
-        if before is not None:
-            old = F.coalesce(old, before)
         per = (args[0] if args else 10**9) * unit / 10**9
         return F.when(v.isNotNull(), make(v, old.getField("v"), ticks - old.getField("t"), F.lit(per)))
 
@@ -137,10 +137,8 @@ register_function("non_negative_difference", Function("transform", (1, 1), _lagg
 register_function("non_negative_derivative", Function("transform", (1, 2), _lagged(_only_up(_rate)), _float, carry="last"))
 
 
-def _elapsed(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int, before: Column | None = None) -> Column:
+def _elapsed(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int) -> Column:
     old = F.last(F.when(v.isNotNull(), ticks), ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
-    if before is not None:
-        old = F.coalesce(old, before.getField("t"))
     size = max(1, (args[0] if args else 1) * unit // 10**9) if unit < 10**9 else (args[0] if args else 1)
     scale = 1 if unit == 10**9 or args else 10**9 // unit
     return F.when(v.isNotNull(), F.floor((ticks - old) * scale / size).cast("long"))
@@ -155,10 +153,12 @@ def _moving(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int)
 
 
 register_function("elapsed", Function("transform", (1, 2), _elapsed, _integer, False, "last"))
-register_function("moving_average", Function("transform", (2, 2), _moving, _float))
-def _running(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int, before: Column | None = None) -> Column:
+register_function("moving_average", Function("transform", (2, 2), _moving, _float, rows=lambda a: int(a[0])))
+
+
+def _running(v: Column, ticks: Column, args: list, series: WindowSpec, unit: int) -> Column:
     own = F.sum(v).over(series.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(v.isNotNull(), own if before is None else own + F.coalesce(before, F.lit(0)))
+    return F.when(v.isNotNull(), own)
 
 
 register_function("cumulative_sum", Function("transform", (1, 1), _running, carry="sum"))

@@ -23,8 +23,12 @@ from ..lang.visit import walk
 from .bind import constant_ns, fold_numbers, reduce
 
 NUMERIC = ("float", "integer", "unsigned")
-#: Time that a task works on at once where all points are one series: an hour.
+#: Time of a series that a task works on at once: an hour.
 STRETCH_NS = 3_600 * 10**9
+#: Empty buckets that one row stands for before they are spelled out.
+FILL_STRETCH = 10_000
+#: Points of a series that a task works on at once where a function needs a number of points before each.
+BLOCK_POINTS = 1 << 16
 _FLIP = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "=", "!=": "!="}
 
 
@@ -296,13 +300,14 @@ class Buckets:
         # the same offset back, so that a repeated hour stays two
         return time_of(self._floor(here) - (here - t), False)
 
-    def spread(self, first: Column, last: Column) -> Column:
-        """The starts from one bucket to another."""
-        if self.local:
-            a, b = ticks_of(self._zoned(first), False), ticks_of(self._zoned(last), False)
-            return F.transform(F.sequence(a, b, F.lit(self.size)), lambda t: F.convert_timezone(F.lit(self.zone), F.lit("UTC"), time_of(t, False)))
-        a, b = ticks_of(first, self.nanos), ticks_of(last, self.nanos)
-        return F.transform(F.sequence(a, b, F.lit(self.size)), lambda t: time_of(t, self.nanos))
+    def place(self, start: Column) -> Column:
+        """The start of a bucket as a long; neighbouring buckets are ``size`` apart."""
+        # a day whose midnight the clock skips starts later, but keeps its place
+        return self._floor(ticks_of(self._zoned(start), False)) if self.local else ticks_of(start, self.nanos)
+
+    def at(self, place: Column) -> Column:
+        """The start of the bucket at a place."""
+        return F.convert_timezone(F.lit(self.zone), F.lit("UTC"), time_of(place, False)) if self.local else time_of(place, self.nanos)
 
     def literal(self, ns: int) -> Column:
         return self.start(F.lit(ns).cast("bigint") if self.nanos else micros_literal(ns // 1000))
@@ -608,7 +613,7 @@ class SelectPlanner:
                         raise AnalysisError(f"integral() needs numbers, not {v.kind} values")
                     i = f"__i{len(inputs)}"
                     inputs[text] = (i, "float")
-                    before.append(self._areas(f, call, v, series, buckets).alias(i))
+                    before.append(self._areas(f, call, v, series, buckets, i).alias(i))
                     aggs[text] = (name, F.sum(F.col(i)), "float")
                 else:
                     i, kind = of(arg)
@@ -664,45 +669,81 @@ class SelectPlanner:
                 kinds.update({k: "float" for k, v in kinds.items() if v in NUMERIC})
         return self._finish(df, lowered, kinds, series, bool(buckets), f, zone)
 
-    def _areas(self, f: Frame, call: A.Call, v: Typed, series, buckets) -> Column:
-        """The area between each point and the one before it in its group, for integral(f[, unit])."""
+    def _areas(self, f: Frame, call: A.Call, v: Typed, series, buckets, name: str) -> Column:
+        """The area between each point and the one before it in its group, for integral(f[, unit]); adds what it needs to the frame."""
         per = self._constant(call.args[1]) if len(call.args) > 1 else 10**9
-        by = [q(k) for k in series] + ([buckets.start(F.col("time"))] if buckets else [])
-        line = Window.partitionBy(*by, v.column.isNotNull()).orderBy("time", v.column)
         t = ticks_of(F.col("time"), f.nanos)
-        area = (v.column + F.lag(v.column).over(line)) / 2 * ((t - F.lag(t).over(line)) / (per if f.nanos else per / 1000))
+        stretch = f"{name}_stretch"
+        if buckets:
+            f.df = f.df.withColumns({stretch: buckets.start(F.col("time")), f"{name}_before": F.lit(None).cast("struct<t:bigint,v:double>")})
+        else:
+            f.df = self._with_before(f.df, v.column.cast("double"), series, f.nanos, stretch, f"{name}_before")
+        line = Window.partitionBy(*[q(k) for k in series], stretch, v.column.isNotNull()).orderBy("time", v.column)
+        old = F.coalesce(F.lag(F.struct(t.alias("t"), v.column.cast("double").alias("v"))).over(line), F.col(f"{name}_before"))
+        area = (v.column + old["v"]) / 2 * ((t - old["t"]) / (per if f.nanos else per / 1000))
         return F.when(v.column.isNotNull(), F.coalesce(area, F.lit(0.0)))
 
+    @staticmethod
+    def _stretch(nanos: bool) -> Column:
+        t = ticks_of(F.col("time"), nanos)
+        return t - F.pmod(t, F.lit(STRETCH_NS if nanos else STRETCH_NS // 1000))
+
+    def _with_before(self, df: DataFrame, value: Column, series: list[str], nanos: bool, stretch: str, before: str) -> DataFrame:
+        """Points with their stretch of time and the last point with a value before it; only a row a stretch is sorted by series."""
+        df = df.withColumn(stretch, self._stretch(nanos))
+        point = F.when(value.isNotNull(), F.struct(ticks_of(F.col("time"), nanos).alias("t"), value.alias("v")))
+        ends = df.groupBy(*[q(k) for k in series], stretch).agg(F.max(point).alias("end"))
+        earlier = Window.partitionBy(*[q(k) for k in series]).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*[q(k).alias(f"__s{i}") for i, k in enumerate(series)], F.col(stretch).alias("__s"), F.last("end", ignorenulls=True).over(earlier).alias(before))
+        on = F.col(stretch).eqNullSafe(F.col("__s"))
+        for i, k in enumerate(series):
+            on = on & q(k).eqNullSafe(F.col(f"__s{i}"))
+        return df.join(ends, on).drop("__s", *[f"__s{i}" for i in range(len(series))])
+
     def _fill(self, df: DataFrame, series, units, kinds, buckets: Buckets, fill: A.Fill, bounds: Bounds) -> DataFrame:
-        """Adds a row for each empty bucket between the bounds, or of each series' own buckets."""
-        low = buckets.literal(bounds.low) if bounds.low is not None else F.min("time")
-        high = buckets.literal(bounds.high) if bounds.high is not None else F.max("time")
+        """Adds a row for each empty bucket between the bounds, or of each series' own buckets.
+
+        Only buckets with points are put in order; the empty ones are spelled out
+        from the gap between two of them, a stretch at a time.
+        """
         keys = [q(k) for k in series]
-        ends = df.groupBy(*keys).agg(low.alias("__low"), high.alias("__high"), F.count("*").alias("__n")).where("__n > 0 and __low <= __high")
-        spine = ends.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(series)], F.explode(buckets.spread(F.col("__low"), F.col("__high"))).alias("__t"))
-        on = F.col("__t") == F.col("time")
-        for i, k in enumerate(series):
-            on = on & F.col(f"__k{i}").eqNullSafe(q(k))
-        df = spine.join(df, on, "left").select(F.col("__t").alias("time"), *[F.col(f"__k{i}").alias(k) for i, k in enumerate(series)], *units)
-        if fill.kind == "null":
-            return df
-        if fill.kind == "value":
-            return df.select("time", *keys, *[(F.coalesce(F.col(u), F.lit(fill.value).cast(SPARK_TYPES[kinds[u]])) if kinds[u] in NUMERIC else F.col(u)).alias(u) for u in units])
-        line = Window.partitionBy(*keys).orderBy("time")
-        past, ahead = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
-        if fill.kind == "previous":
-            return df.select("time", *keys, *[F.last(u, ignorenulls=True).over(past).alias(u) for u in units])
-        t = ticks_of(F.col("time"), buckets.nanos)
+        line = Window.partitionBy(*keys).orderBy("__p")
+        size = F.lit(buckets.size).cast("bigint")
+        df = df.withColumn("__p", buckets.place(F.col("time")))
+        first = buckets.place(buckets.literal(bounds.low)) if bounds.low is not None else F.col("__p")
+        last = buckets.place(buckets.literal(bounds.high)) if bounds.high is not None else F.col("__p")
+        carried = [u for u in units if fill.kind == "previous" or (fill.kind == "linear" and kinds[u] in NUMERIC)]
+        point = {u: F.when(F.col(u).isNotNull(), F.struct(F.col("__p").alias("p"), F.col(u).alias("v"))) for u in carried}
+        past, ahead = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(1, Window.unboundedFollowing)
+        more = {f"__b{u}": F.last(point[u], ignorenulls=True).over(past) for u in carried}
+        if fill.kind == "linear":
+            more |= {f"__a{u}": F.first(point[u], ignorenulls=True).over(ahead) for u in carried}
+        df = df.withColumns({"__next": F.lead("__p").over(line), "__first": F.lag("__p").over(line).isNull()} | more)
+
+        def run(start: Column, stop: Column, before: bool) -> Column:
+            return F.struct(start.alias("start"), stop.alias("stop"), F.lit(before).alias("before"))
+
+        p = F.col("__p")
+        runs = F.array(run(p, p, False), run(p + size, F.coalesce(F.col("__next") - size, last), False), F.when(F.col("__first"), run(first, p - size, True)))
+        far = F.lit(buckets.size * max(1, min(FILL_STRETCH, (1 << 62) // buckets.size))).cast("bigint")
+        rows = df.select("*", F.explode(F.filter(runs, lambda r: r.isNotNull() & (r["start"] <= r["stop"]))).alias("__r"))
+        rows = rows.select("*", F.explode(F.sequence("__r.start", "__r.stop", far)).alias("__piece"))
+        rows = rows.select("*", F.explode(F.sequence("__piece", F.least(F.col("__r.stop"), F.col("__piece") + far - size), size)).alias("__t"))
+        own, t = F.col("__t") == p, F.col("__t")
         out = []
         for u in units:
-            if kinds[u] not in NUMERIC:
-                out.append(F.col(u))
-                continue
-            point = F.when(F.col(u).isNotNull(), F.struct(t.alias("t"), F.col(u).cast("double").alias("v")))
-            a, b = F.last(point, ignorenulls=True).over(past), F.first(point, ignorenulls=True).over(ahead)
-            between = a["v"] + (b["v"] - a["v"]) * ((t - a["t"]) / (b["t"] - a["t"]))
-            out.append(F.coalesce(F.col(u).cast("double"), between).alias(u))
-        return df.select("time", *keys, *out)
+            v = F.when(own, F.col(u))
+            if fill.kind == "value" and kinds[u] in NUMERIC:
+                v = F.coalesce(v, F.lit(fill.value).cast(SPARK_TYPES[kinds[u]]))
+            elif fill.kind == "previous":
+                v = F.when(~F.col("__r.before"), F.col(f"__b{u}.v"))
+            elif u in carried:
+                # of the buckets before the first one nothing is known
+                x, y = F.col(f"__b{u}"), F.col(f"__a{u}")
+                between = x["v"].cast("double") + (y["v"].cast("double") - x["v"].cast("double")) * ((t - x["p"]) / (y["p"] - x["p"]))
+                v = F.coalesce(v.cast("double"), F.when(~F.col("__r.before"), between))
+            out.append(v.alias(u))
+        return rows.select(buckets.at(t).alias("time"), *keys, *out)
 
     def _raw(self, f: Frame, fields, keys, series, zone) -> Frame:
         return self._finish(f.df, fields, f.fields, series, f.time, f, zone, raw=True)
@@ -718,7 +759,7 @@ class SelectPlanner:
                 raise AnalysisError("functions over time need GROUP BY TIME")
             line = Window.partitionBy(*[q(k) for k in series]).orderBy("time")
             step = 0
-            done: list[tuple[str, A.Node]] = []
+            unit = 10**9 if f.nanos else 10**6
 
             def run(e: A.Node) -> A.Node:
                 nonlocal step, own
@@ -734,22 +775,23 @@ class SelectPlanner:
                 v = Expressions(own, self.now_ns, zone).value(run(e.args[0]))
                 if fn.numeric and v.kind not in (*NUMERIC, None):
                     raise AnalysisError(f"{e.name}() needs numbers, not {v.kind} values")
-                name, src = f"__t{step}", f"__s{step}"
+                name, src = f"__t{step}", f"__v{step}"
                 step += 1
                 base = own.df.withColumn(src, v.column)
-                unit = 10**9 if f.nanos else 10**6
                 args = [F.col(src), ticks_of(F.col("time"), f.nanos), [self._constant(a) for a in e.args[1:]]]
-                if raw and not series and fn.carry:
-                    base = self._stretches(base, src, fn.carry, f.nanos)
-                    got = fn.build(*args, Window.partitionBy("__stretch").orderBy("time"), unit, F.col("__before"))
+                if raw and fn.rows:
+                    base = self._row_blocks(base, series, f.nanos, fn.rows(args[2]))
+                    line_here = Window.partitionBy(*[q(k) for k in series], "__block").orderBy("__row")
+                    base = base.withColumn(name, fn.build(*args, line_here, unit)).where("not __copy").drop("__block", "__row", "__copy")
                 else:
-                    got = fn.build(*args, line, unit)
-                own = Frame(base.withColumn(name, got).drop(src, "__stretch", "__before"), own.tags, {**own.fields, name: fn.result(v.kind)}, True, f.nanos, f.named)
+                    base = base.withColumn(name, fn.build(*args, line, unit))
+                own = Frame(base.drop(src), own.tags, {**own.fields, name: fn.result(v.kind)}, True, f.nanos, f.named)
                 needed.append(name)
                 return A.VarRef(name)
 
-            done = [(n, run(e)) for n, e in fields]
-            fields = done
+            if raw:
+                fields, own = self._in_stretches(fields, own, series, zone, needed)
+            fields = [(n, run(e)) for n, e in fields]
         ex = Expressions(own, self.now_ns, zone)
         out, result = [], {}
         for name, e in fields:
@@ -762,21 +804,72 @@ class SelectPlanner:
             df = df.where(fold(lambda a, b: a | b, [q(n).isNotNull() for n in result]))
         return Frame(df, [], result, time, f.nanos, f.named)
 
-    @staticmethod
-    def _stretches(df: DataFrame, value: str, carry: str, nanos: bool) -> DataFrame:
-        """Points with their stretch of time and what is before it, so that one series is worked on in many tasks.
+    def _in_stretches(self, fields, own: Frame, series: list[str], zone, needed: list[str]) -> tuple[list[tuple[str, A.Node]], Frame]:
+        """The functions over time that need only the last point or the sum of all that is before, all at once.
 
-        Only a row a stretch is sorted in one task.
+        A series is worked on in stretches of time.  Into each stretch goes a row
+        a function with what is before it, in front of its points; only a row a
+        stretch is sorted by series.
         """
-        t = ticks_of(F.col("time"), nanos)
-        size = STRETCH_NS if nanos else STRETCH_NS // 1000
-        df = df.withColumn("__stretch", t - F.pmod(t, F.lit(size)))
-        point = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v")))
-        ends = df.groupBy("__stretch").agg((F.max(point) if carry == "last" else F.sum(value)).alias("end"))
-        earlier = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.last("end", ignorenulls=True).over(earlier) if carry == "last" else F.sum("end").over(earlier)
-        ends = ends.select(F.col("__stretch").alias("__s"), before.alias("__before"))
-        return df.join(ends, F.col("__stretch").eqNullSafe(F.col("__s"))).drop("__s")
+        made: dict[str, tuple[str, str, object, A.Call, str | None]] = {}
+        base, swaps = own.df, {}
+        ex = Expressions(own, self.now_ns, zone)
+        for _, e in fields:
+            for c in _calls(e, ("transform",)):
+                fn = lookup(c.name, len(c.args))
+                if not fn.carry or _calls(c.args[0], ("transform",)):
+                    continue
+                if str(c) not in made:
+                    v = ex.value(c.args[0])
+                    if fn.numeric and v.kind not in (*NUMERIC, None):
+                        raise AnalysisError(f"{c.name}() needs numbers, not {v.kind} values")
+                    n = len(made)
+                    made[str(c)] = (f"__c{n}", f"__w{n}", fn, c, v.kind)
+                    base = base.withColumn(f"__w{n}", v.column)
+                swaps[id(c)] = A.VarRef(made[str(c)][0])
+        if not made:
+            return fields, own
+        keys = [q(k) for k in series]
+        base = base.withColumn("__stretch", self._stretch(own.nanos))
+        sources = {src: fn.carry for _, src, fn, _, _ in made.values()}
+        t = F.col("time")
+        aggs = []
+        for src, carry in sources.items():
+            aggs.append(F.max(F.when(F.col(src).isNotNull(), F.struct(t.alias("t"), F.col(src).alias("v")))).alias(src))
+            if carry == "sum":
+                aggs.append(F.sum(src).alias(f"{src}_sum"))
+        ends = base.groupBy(*keys, "__stretch").agg(*aggs)
+        earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+        kinds = {x.name: x.dataType for x in base.schema}
+        rows = base.withColumn("__first", F.lit(1))
+        for src, carry in sources.items():
+            last = F.last(src, ignorenulls=True).over(earlier)
+            value = F.sum(f"{src}_sum").over(earlier) if carry == "sum" else last["v"]
+            before = ends.select(*keys, "__stretch", last["t"].alias("time"), value.cast(kinds[src]).alias(src), F.lit(0).alias("__first")).where(F.col(src).isNotNull())
+            rows = rows.unionByName(before, allowMissingColumns=True)
+        line = Window.partitionBy(*keys, "__stretch").orderBy("__first", "time")
+        unit = 10**9 if own.nanos else 10**6
+        got = {name: fn.build(F.col(src), ticks_of(t, own.nanos), [self._constant(a) for a in c.args[1:]], line, unit) for name, src, fn, c, _ in made.values()}
+        df = rows.withColumns(got).where("__first = 1").drop("__first", "__stretch", *sources)
+        needed += got
+        more = {name: fn.result(kind) for name, _, fn, _, kind in made.values()}
+        return [(n, self._swap(e, swaps)) for n, e in fields], Frame(df, own.tags, {**own.fields, **more}, True, own.nanos, own.named)
+
+    def _row_blocks(self, df: DataFrame, series: list[str], nanos: bool, n: int) -> DataFrame:
+        """Points numbered by time in their series (__row), in blocks of numbers (__block) that begin with copies (__copy) of the n - 1 points before."""
+        keys = [q(k) for k in series]
+        df = df.withColumn("__stretch", self._stretch(nanos))
+        counts = df.groupBy(*keys, "__stretch").agg(F.count("*").alias("__n"))
+        earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+        heads = counts.select(*keys, "__stretch", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"), F.lit(0).alias("__first"))
+        rows = df.withColumn("__first", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+        line = Window.partitionBy(*keys, "__stretch").orderBy("__first", "time")
+        rows = rows.withColumn("__row", F.row_number().over(line) - 2 + F.first("__base").over(line)).where("__first = 1").drop("__first", "__base", "__stretch")
+        size = max(BLOCK_POINTS, 4 * n)
+        block = F.expr(f"__row div {size}")
+        places = F.array(F.struct(block.alias("b"), F.lit(False).alias("c")), F.when(F.col("__row") % size > size - n, F.struct((block + 1).alias("b"), F.lit(True).alias("c"))))
+        rows = rows.select("*", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("__x"))
+        return rows.withColumns({"__block": F.col("__x.b"), "__copy": F.col("__x.c")}).drop("__x")
 
     def _limits(self, f: Frame, s: A.Select) -> Frame:
         df, series = f.df, f.series

@@ -1,5 +1,6 @@
 """Statements over small hand-made measurements."""
 
+import random
 from datetime import datetime as D
 
 import pytest
@@ -272,3 +273,53 @@ def test_time_reaches_the_scan(spark, tmp_path):
     e.catalog.add("m", spark.read.parquet(path), "time", ["host"])
     plan = e.sql("SELECT sum(usage) FROM m WHERE time >= '2024-01-01' AND host = 'a' GROUP BY TIME(1h)")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(time" in plan and "EqualTo(host,a)" in plan and "other" not in plan
+
+
+def plain_transforms(points):
+    """difference, elapsed, sum so far and mean of the last 3 rows of one series' (time, value), by time."""
+    out, last, total, rows = {}, None, 0, []
+    for t, v in points:
+        rows.append(v)
+        three = rows[-3:]
+        mean = sum(three) / 3 if len(three) == 3 and None not in three else None
+        if v is not None:
+            total += v
+            out[t] = (None if last is None else v - last[1], None if last is None else t - last[0], total, mean)
+            last = (t, v)
+        elif mean is not None:
+            out[t] = (None, None, None, mean)
+    return out
+
+
+def test_functions_over_time_work_in_stretches(spark, monkeypatch):
+    """Each series, null tags too, is cut in stretches and blocks, and gives what it gives whole."""
+    from chronolith.plans import select
+
+    monkeypatch.setattr(select, "STRETCH_NS", 50)
+    monkeypatch.setattr(select, "BLOCK_POINTS", 16)
+    rng = random.Random(5)
+    series = {h: [(t, rng.choice([None, rng.randrange(100)])) for t in sorted(rng.sample(range(-2000, 5000), n))] for h, n in (("a", 900), ("b", 40), (None, 60), ("c", 1))}
+    df = spark.createDataFrame([(t, h, v) for h, points in series.items() for t, v in points], "time bigint, host string, v bigint")
+    e = Engine(spark)
+    e.catalog.add("m", df, "time", ["host"], nanos=True)
+    got = e.sql("SELECT difference(v) AS d, elapsed(v, 1) AS e, cumulative_sum(v) AS c, moving_average(v, 3) AS m, difference(v) * 2 AS twice FROM m GROUP BY host").collect()
+    found = {(r["host"], r["time"]): (r["d"], r["e"], r["c"], r["m"]) for r in got}
+    want = {(h, t): x for h, points in series.items() for t, x in plain_transforms(points).items()}
+    assert found == {k: (d, e, c, None if m is None else pytest.approx(m)) for k, (d, e, c, m) in want.items()} and all(r["twice"] == (None if r["d"] is None else 2 * r["d"]) for r in got)
+    whole = {(None, r["time"]): (r["d"], r["c"]) for r in e.sql("SELECT difference(v) AS d, cumulative_sum(v) AS c FROM m WHERE host = 'a'").collect()}
+    assert whole == {(None, t): (d, c) for t, (d, _, c, _) in plain_transforms(series["a"]).items() if c is not None}
+    area = {r["host"]: r["integral"] for r in e.sql("SELECT integral(v, 1) FROM m GROUP BY host").collect()}
+    for h, points in series.items():
+        own = [p for p in points if p[1] is not None]
+        assert area[h] == (pytest.approx(sum((b[1] + a[1]) / 2 * (b[0] - a[0]) for a, b in zip(own, own[1:]))) if own else None)
+
+
+def test_a_fill_of_very_many_buckets(spark):
+    """Empty buckets are spelled out a stretch at a time, not as one array."""
+    df = spark.createDataFrame([(0, "a", 1.0), (3 * 10**15, "a", 3.0)], "time bigint, host string, v double")
+    e = Engine(spark)
+    e.catalog.add("m", df, "time", ["host"], nanos=True)
+    r = e.sql("SELECT mean(v) AS v FROM m GROUP BY TIME(1s), host FILL(linear)").selectExpr("count(*) n", "count(distinct time) d", "min(v) a", "max(v) b", "avg(v) c").first()
+    assert (r["n"], r["d"], r["a"], r["b"]) == (3_000_001, 3_000_001, 1.0, 3.0) and abs(r["c"] - 2) < 1e-9
+    bounds = e.sql("SELECT sum(v) AS v FROM m WHERE time >= -2h AND time < 1h GROUP BY TIME(1h), host FILL(previous)").orderBy("time").collect()
+    assert [(x["time"] // 3_600_000_000_000, x["v"]) for x in bounds] == [(-2, None), (-1, None), (0, 1.0)]
