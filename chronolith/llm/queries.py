@@ -70,7 +70,7 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
-    return shared_parts(_table(spark, folder, "documents"))
+    return shared_parts(_table(spark, folder, "documents"), links=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

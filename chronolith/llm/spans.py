@@ -7,8 +7,10 @@ position in both, however their offsets differ.  Windows are
 ``min_length - period + 1`` characters long, so that one fits.
 
 1. Each task packs the hashes of its texts into one array per hash shard; the
-   shards tell which hashes occur in several texts.  Nothing else of a text is
-   sent yet.
+   shards tell which hashes occur in several texts.  Of a hash that several of a
+   task's texts hold only one occurrence is sent, so a passage of very many texts
+   does not gather in one shard.  The texts' digests go along; what this pass
+   finds is kept in the shared folder.
 2. Texts with such hashes send, for these windows alone, both hashes and the
    characters beside the window.
 3. Windows that are equal join on their hash.  A pair of windows goes on only
@@ -16,6 +18,10 @@ position in both, however their offsets differ.  Windows are
    position before or after it is not shared too; the inside of a long copy
    costs nothing.  The characters beside give the exact ends.
 
+How much of a text is shared needs no pairs: around the windows of 1, stretches
+of the full length are hashed at every position, and found as in 1 where another
+text holds one.
+
 Equal texts are one class with one representative throughout.
 """
 
@@ -23,13 +29,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import parts_for
+from ..session import parts_for, shared_folder
 from .encoding import text_chunks
 
 MIN_LENGTH = 200
@@ -37,6 +44,8 @@ MIN_LENGTH = 200
 ORDER = 7
 #: Input bytes per hash shard; sets how many shards there are, at any size.
 SHARD_BYTES = 4 << 20
+#: Shards that a task looks through; sets how many tasks there are, at any size.
+TASK_SHARDS = 4
 
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd
 _MIX = (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -124,55 +133,137 @@ class _Windows:
         return np.concatenate(owner), np.concatenate(place)
 
 
-def _pack(texts: DataFrame, period: int, residues: tuple[int, ...], width: int, shards: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _locally_shared(owner: np.ndarray, *hashes: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(to send, known): which entries other tasks must hear of, and which several of these texts hold.
+
+    Of a hash of several texts one entry is sent, of another hash one, or with
+    ``places`` all.
+    """
+    order = np.lexsort((owner, *hashes[::-1]))
+    new = np.ones(len(owner), bool)
+    if len(owner) > 1:
+        new[1:] = np.logical_or.reduce([h[order][1:] != h[order][:-1] for h in hashes])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(owner)))
+    o = owner[order]
+    several = np.repeat(o[begin] != o[begin + size - 1], size) if len(owner) else np.zeros(0, bool)
+    send, known = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
+    send[order] = new | ~several if places else new
+    known[order] = several
+    return send, known
+
+
+def _sharded(shard: np.ndarray, owner: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Entries packed by shard: how many texts, their ids, their numbers of entries, and each column's values."""
+    order = np.lexsort((owner, shard))
+    shard, owner, columns = shard[order], owner[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.diff(shard)) + 1
+    for at, s, o in zip(np.split(np.arange(len(shard)), cut), np.split(shard, cut), np.split(owner, cut)):
+        if len(s):
+            who, each = np.unique(o, return_counts=True)
+            yield int(s[0]), np.int64(len(who)).tobytes() + ids[who].tobytes() + each.astype(np.uint32).tobytes() + b"".join(c[at].tobytes() for c in columns)
+
+
+def _unsharded(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
+    """The owners and columns of all packed entries of a shard."""
+    parts: list[list[np.ndarray]] = []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        each = np.frombuffer(blob, np.uint32, n, 8 + 8 * n)
+        row, at, total = [np.repeat(np.frombuffer(blob, np.int64, n, 8), each)], 8 + 12 * n, int(each.sum())
+        for k in kinds:
+            row.append(np.frombuffer(blob, k, total, at))
+            at += total * np.dtype(k).itemsize
+        parts.append(row)
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64), *(np.empty(0, k) for k in kinds)]
+
+
+def _by_owner(owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(owner, kind="stable")
+    owner, columns = owner[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.diff(owner)) + 1
+    for at in np.split(np.arange(len(owner)), cut):
+        if len(at):
+            yield int(owner[at[0]]), [c[at] for c in columns]
+
+
+#: shard: where the row is looked at; those from ``shards`` on only pass what tasks know already.
+_PACKED = "shard int, doc_id long, packed binary, digest binary, n_chars long"
+_SEEN = "doc_id long, hashes binary, digest binary, n_chars long"
+
+
+def _near(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a hash and its low half, as one number."""
+    return ((h >> np.uint64(32)) % np.uint64(shards) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def _packed_rows(shards: list[int], ids: list[int | None], blobs: list[bytes | None], digests: list[bytes | None], sizes: list[int | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], ["shard", "doc_id", "packed", "digest", "n_chars"])
+
+
+def _first_pass(own: DataFrame, period: int, residues: tuple[int, ...], width: int) -> tuple[DataFrame, int]:
+    """(doc_id, hashes, digest, n_chars) and the number of shards: of each text the digest, and the hashes that other texts hold too, in several rows."""
+    shards = parts_for(own, SHARD_BYTES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             # copies within a batch are packed once, under their least id: a class's representative is never left out
             once: dict[str, int] = {}
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t in zip(ids, texts):
                 once[t] = min(i, once.get(t, i))
+            digests = {t: blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in once}
+            yield _packed_rows([shards + i % shards for i in ids], ids, [None] * len(ids), [digests[t] for t in texts], [len(t) for t in texts])
             texts, ids = list(once), np.array(list(once.values()), np.int64)
             for a, b in text_chunks(texts):
                 w = _Windows(texts[a:b])
                 owner, place = w.anchors(period, residues, width)
-                h = w.hashes(place, width)
-                shard = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                owner, low, shard = owner[order], h[order].astype(np.uint32), shard[order]
-                cut = np.flatnonzero(np.diff(shard)) + 1
-                numbers, blobs = [], []
-                for s, o, l in zip(np.split(shard, cut), np.split(owner, cut), np.split(low, cut)):
-                    if len(s):
-                        who, each = np.unique(o, return_counts=True)
-                        numbers.append(int(s[0]))
-                        blobs.append(np.int64(len(who)).tobytes() + ids[a + who].tobytes() + each.astype(np.uint32).tobytes() + l.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "packed"])
-
-    return texts.mapInArrow(run, "shard int, packed binary")
-
-
-def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one shard: the hashes that several texts hold, for each of these texts."""
-    owners, hashes = [], []
-    for blob in table.column("packed").to_pylist():
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        ids = np.frombuffer(blob, np.int64, n, 8)
-        each = np.frombuffer(blob, np.uint32, n, 8 + 8 * n)
-        owners.append(np.repeat(ids, each))
-        hashes.append(np.frombuffer(blob, np.uint32, -1, 8 + 12 * n))
-    owner, low = np.concatenate(owners), np.concatenate(hashes)
-    order = np.lexsort((owner, low))
-    owner, low = owner[order], low[order]
-    begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    end = np.append(begin[1:], len(low)) - 1
-    several = owner[begin] != owner[end]
-    keep = np.repeat(several, end - begin + 1)
-    owner, low = owner[keep], low[keep]
-    order = np.argsort(owner, kind="stable")
-    owner, low = owner[order], low[order]
-    cut = np.flatnonzero(np.diff(owner)) + 1
-    parts = [x for x in zip(np.split(owner, cut), np.split(low, cut)) if len(x[0])]
-    return pa.table({"doc_id": pa.array([int(o[0]) for o, _ in parts], pa.int64()), "shard": pa.array([key[0].as_py()] * len(parts), pa.int32()), "hashes": pa.array([l.tobytes() for _, l in parts], pa.binary())})
+                near = _near(w.hashes(place, width), shards)
+                send, known = _locally_shared(owner, near)
+                rows = [(s, None, blob) for s, blob in _sharded((near[send] >> np.uint64(32)).astype(np.int64), owner[send], ids[a:b], near[send].astype(np.uint32))]
+                rows += [(shards + int(ids[a + o]) % shards, int(ids[a + o]), np.unique(h).tobytes()) for o, (h,) in _by_owner(owner[known], near[known])]
+                if rows:
+                    numbers, owners, blobs = zip(*rows)
+                    yield _packed_rows(list(numbers), list(owners), list(blobs), [None] * len(rows), [None] * len(rows))
+
+    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        if number >= shards:
+            return pa.table({"doc_id": table["doc_id"], "hashes": table["packed"], "digest": table["digest"], "n_chars": table["n_chars"]})
+        owner, low = _unsharded(table["packed"].to_pylist(), np.uint32)
+        _, several = _locally_shared(owner, low)
+        found = list(_by_owner(owner[several], low[several].astype(np.uint64) | np.uint64(number << 32)))
+        return pa.table({"doc_id": pa.array([o for o, _ in found], pa.int64()), "hashes": pa.array([h.tobytes() for _, (h,) in found], pa.binary()), "digest": pa.nulls(len(found), pa.binary()), "n_chars": pa.nulls(len(found), pa.int64())})
+
+    shared_folder(own.sparkSession)
+    packed = own.mapInArrow(pack, _PACKED).repartition(max(1, -(-2 * shards // TASK_SHARDS)), "shard")
+    return packed.groupBy("shard").applyInArrow(look, _SEEN).checkpoint(), shards
+
+
+def _classes(seen: DataFrame) -> DataFrame:
+    own = seen.where("digest is not null").select("doc_id", "n_chars", "digest")
+    reps = own.groupBy("digest").agg(F.min("doc_id").alias("rep_id"))
+    return own.join(reps, "digest").select("doc_id", "rep_id", "n_chars").distinct()
+
+
+def _flagged(own: DataFrame, seen: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, text, flags) of the representatives that share windows; texts are spread by their id, as many parts as their size asks for."""
+    parts = max(1, -(-shards // TASK_SHARDS))
+    reps = _classes(seen).where("doc_id = rep_id").select("doc_id")
+    flags = seen.where("hashes is not null").select("doc_id", "hashes").repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list("hashes").alias("flags"))
+    return own.repartition(parts, "doc_id").join(flags.join(reps, "doc_id", "left_semi"), "doc_id").select("doc_id", "text", "flags")
+
+
+def _wanted_windows(w: _Windows, flags: list[list[bytes]], period: int, residues: tuple[int, ...], width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the windows that other texts hold."""
+    owner, place = w.anchors(period, residues, width)
+    h = w.hashes(place, width)
+    near = _near(h, shards)
+    bound = np.searchsorted(owner, np.arange(len(flags) + 1))
+    keep = np.zeros(len(h), bool)
+    for k, f in enumerate(flags):
+        keep[bound[k] : bound[k + 1]] = np.isin(near[bound[k] : bound[k + 1]], np.concatenate([np.frombuffer(x, np.uint64) for x in f]))
+    return owner[keep], place[keep], h[keep]
 
 
 _OCCURRENCE = "key long, key2 long, doc_id long, pos int, residue int, before1 long, before2 long, after1 long, after2 long, left string, right string"
@@ -195,15 +286,7 @@ def _occurrences(flagged: DataFrame, period: int, residues: tuple[int, ...], wid
             ids, texts, flags = (batch.column(i).to_pylist() for i in range(3))
             for a, b in text_chunks(texts):
                 w = _Windows(texts[a:b])
-                owner, place = w.anchors(period, residues, width)
-                h = w.hashes(place, width)
-                near = ((h >> np.uint64(32)) % np.uint64(shards) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-                bound = np.searchsorted(owner, np.arange(b - a + 1))
-                keep = np.zeros(len(h), bool)
-                for k in range(b - a):
-                    wanted = np.concatenate([np.frombuffer(f["hashes"], np.uint32).astype(np.uint64) | np.uint64(f["shard"] << 32) for f in flags[a + k]])
-                    keep[bound[k] : bound[k + 1]] = np.isin(near[bound[k] : bound[k + 1]], wanted)
-                owner, place, h = owner[keep], place[keep], h[keep]
+                owner, place, h = _wanted_windows(w, flags[a:b], period, residues, width, shards)
                 pos = place - w.first[owner]
                 rest = w.sizes[owner] - pos - width
                 residue = pos % period
@@ -252,33 +335,37 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("doc_a", "doc_b", "pos_a", "pos_b", "is_start", "is_end")), pa.array(lefts, pa.int32()), pa.array(rights, pa.int32())], ["doc_a", "doc_b", "pos_a", "pos_b", "is_start", "is_end", "left", "right"])
 
 
-def text_classes(documents: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """(doc_id, rep_id, n_chars) of the rows whose text is long enough; equal texts share rep_id, their least id."""
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.char_length("text") >= min_length))
-    own = own.select("doc_id", F.char_length("text").alias("n_chars"), F.unhex(F.sha2("text", 256)).alias("digest"))
-    reps = own.groupBy("digest").agg(F.min("doc_id").alias("rep_id"))
-    return own.join(reps, "digest").select("doc_id", "rep_id", "n_chars").distinct()
+def _long_enough(documents: DataFrame, min_length: int) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.char_length("text") >= min_length))
+
+
+def _cover(min_length: int, order: int) -> tuple[int, tuple[int, ...], int]:
+    """(period, residues, window) for a length."""
+    period, residues = difference_cover(order)
+    width = min_length - period + 1
+    if width < 1:
+        raise ValueError("the period is longer than min_length")
+    return period, residues, width
 
 
 def shared_spans(documents: DataFrame, min_length: int = MIN_LENGTH, order: int = ORDER) -> DataFrame:
     """(doc_a, doc_b, start_a, start_b, length): every maximal stretch of at least
     ``min_length`` characters that the texts of two classes hold verbatim.
 
-    doc_a < doc_b are representatives (``text_classes``); starts count Unicode
-    characters from 0.  Null and shorter texts and null ids take no part.  Equal
-    windows are recognised by two independent 64-bit hashes.  ``doc_id`` must be
-    integral and unique; other columns are not read.
+    doc_a < doc_b are representatives, the least ids of equal texts; starts
+    count Unicode characters from 0.  Null and shorter texts and null ids take no
+    part.  Equal windows are recognised by two independent 64-bit hashes, equal
+    texts by 128 bits.  ``doc_id`` must be integral and unique; other columns are
+    not read.
     """
-    period, residues = difference_cover(order)
-    width = min_length - period + 1
-    if width < 1:
-        raise ValueError("the period is longer than min_length")
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.char_length("text") >= min_length))
-    shards = parts_for(own, SHARD_BYTES)
-    flags = _pack(own, period, residues, width, shards).groupBy("shard").applyInArrow(_repeated, "doc_id long, shard int, hashes binary")
-    reps = text_classes(documents, min_length).select(F.col("rep_id").alias("doc_id")).distinct()
-    flags = flags.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "hashes")).alias("flags")).join(reps, "doc_id", "left_semi")
-    o = _occurrences(own.join(flags, "doc_id").select("doc_id", "text", "flags"), period, residues, width, shards)
+    cover = _cover(min_length, order)
+    own = _long_enough(documents, min_length)
+    return _spans(own, *_first_pass(own, *cover), cover, min_length)
+
+
+def _spans(own: DataFrame, seen: DataFrame, shards: int, cover: tuple[int, tuple[int, ...], int], min_length: int) -> DataFrame:
+    period, residues, width = cover
+    o = _occurrences(_flagged(own, seen, shards), period, residues, width, shards)
 
     a, b = o.alias("a"), o.alias("b")
     near = F.col("a.residue") == F.col("b.residue")
@@ -308,8 +395,11 @@ def shared_spans(documents: DataFrame, min_length: int = MIN_LENGTH, order: int
 
 def shared_pairs(documents: DataFrame, min_length: int = MIN_LENGTH, order: int = ORDER) -> DataFrame:
     """(doc_a, doc_b) with doc_a < doc_b: every pair of documents that share ``min_length`` characters, copies too."""
-    links = shared_spans(documents, min_length, order).select("doc_a", "doc_b").distinct()
-    member = text_classes(documents, min_length).select("doc_id", "rep_id")
+    cover = _cover(min_length, order)
+    own = _long_enough(documents, min_length)
+    seen, shards = _first_pass(own, *cover)
+    links = _spans(own, seen, shards, cover, min_length).select("doc_a", "doc_b").distinct()
+    member = _classes(seen).select("doc_id", "rep_id")
     # a class is linked to itself if it has several members
     alone = member.groupBy("rep_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep_id").alias("doc_a"), F.col("rep_id").alias("doc_b"))
     m1, m2 = member.select(F.col("rep_id").alias("doc_a"), F.col("doc_id").alias("x")), member.select(F.col("rep_id").alias("doc_b"), F.col("doc_id").alias("y"))
@@ -318,25 +408,96 @@ def shared_pairs(documents: DataFrame, min_length: int = MIN_LENGTH, order: int
     return across.unionByName(within)
 
 
-def shared_parts(documents: DataFrame, min_length: int = MIN_LENGTH, order: int = ORDER) -> DataFrame:
+_RUNS = "doc_id long, runs binary"
+
+
+def _covered(flagged: DataFrame, cover: tuple[int, tuple[int, ...], int], min_length: int, shards: int) -> DataFrame:
+    """(doc_id, covered): how many characters of a text lie in stretches of ``min_length`` that another text holds.
+
+    Every such stretch holds a window that was flagged, so only the positions
+    that a flagged window is less than a period behind are looked at.
+    """
+    period, residues, width = cover
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, flags = (batch.column(i).to_pylist() for i in range(3))
+            ids = np.array(ids, np.int64)
+            for a, b in text_chunks(texts):
+                w = _Windows(texts[a:b])
+                owner, place, _ = _wanted_windows(w, flags[a:b], period, residues, width, shards)
+                turn = np.zeros(len(w.points) + 1, np.int64)
+                low, high = np.maximum(place - period + 1, w.first[owner]), np.minimum(place, w.first[owner + 1] - min_length)
+                ok = low <= high
+                np.add.at(turn, low[ok], 1)
+                np.add.at(turn, high[ok] + 1, -1)
+                at = np.flatnonzero(np.cumsum(turn) > 0)
+                owner = np.searchsorted(w.first, at, "right") - 1
+                h, h2 = w.hashes(at, min_length), w.hashes(at, min_length, 1).astype(np.uint32)
+                send, known = _locally_shared(owner, h, h2, places=True)
+                pos = (at - w.first[owner]).astype(np.int32)
+                shard = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                rows = [(s, None, blob) for s, blob in _sharded(shard[send], owner[send], ids[a:b], h[send], h2[send], pos[send])]
+                rows += [(shards + int(ids[a + o]) % shards, int(ids[a + o]), _runs(p, min_length)) for o, (p,) in _by_owner(owner[known], pos[known])]
+                if rows:
+                    numbers, owners, blobs = zip(*rows)
+                    yield _packed_rows(list(numbers), list(owners), list(blobs), [None] * len(rows), [None] * len(rows))
+
+    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= shards:
+            return pa.table({"doc_id": table["doc_id"], "runs": table["packed"]})
+        owner, h, h2, pos = _unsharded(table["packed"].to_pylist(), np.uint64, np.uint32, np.int32)
+        _, several = _locally_shared(owner, h, h2)
+        found = list(_by_owner(owner[several], pos[several]))
+        return pa.table({"doc_id": pa.array([o for o, _ in found], pa.int64()), "runs": pa.array([_runs(p, min_length) for _, (p,) in found], pa.binary())})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for runs in batch.column(1).to_pylist():
+                r = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in runs])
+                r = r[np.argsort(r[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(r[:, 1])
+                sums.append(int(np.maximum(r[:, 1] - np.maximum(r[:, 0], np.concatenate([[0], reach[:-1]])), 0).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["doc_id", "covered"])
+
+    parts = max(1, -(-2 * shards // TASK_SHARDS))
+    runs = flagged.mapInArrow(pack, _PACKED).repartition(parts, "shard").groupBy("shard").applyInArrow(look, _RUNS)
+    # a text's runs are at most as many as its characters
+    return runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")).mapInArrow(total, "doc_id long, covered long")
+
+
+def _runs(positions: np.ndarray, length: int) -> bytes:
+    """The stretches that begin at some positions, those that overlap as one: (first, end) pairs."""
+    p = np.unique(positions)
+    cut = np.flatnonzero(np.diff(p) > length)
+    return np.stack([p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)] + length], 1).astype(np.int32).tobytes()
+
+
+def shared_parts(documents: DataFrame, min_length: int = MIN_LENGTH, order: int = ORDER, links: bool = True) -> DataFrame:
     """For every row of documents: (doc_id, rep_id, n_chars, n_copies, n_links, shared_chars, shared_part).
 
     ``n_links`` counts the other classes that share a span, ``n_copies`` the
     other rows with the same text.  ``shared_chars`` is how many characters lie
     in a span that another document holds; of a text with copies all do.  Null
     texts have null ``n_chars`` and 0 elsewhere; short texts share nothing.
+    Without ``links`` there is no ``n_links`` and nothing goes through pairs: the
+    work grows with the occurrences of shared passages, not with their square.
     """
-    spans = shared_spans(documents, min_length, order)
-    sides = spans.select(F.col("doc_a").alias("rep_id"), F.col("doc_b").alias("other"), F.col("start_a").alias("s"), "length").unionByName(spans.select(F.col("doc_b").alias("rep_id"), F.col("doc_a").alias("other"), F.col("start_b").alias("s"), "length"))
-    by = Window.partitionBy("rep_id").orderBy("s", "length").rowsBetween(Window.unboundedPreceding, -1)
-    reach = sides.withColumn("e", F.col("s") + F.col("length"))
-    reach = reach.withColumn("upto", F.max("e").over(by)).withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("upto", "s"))))
-    parts = reach.groupBy("rep_id").agg(F.sum("new").alias("covered"), F.count_distinct("other").alias("n_links"))
-    member = text_classes(documents, min_length)
+    cover = _cover(min_length, order)
+    own = _long_enough(documents, min_length)
+    seen, shards = _first_pass(own, *cover)
+    parts = _covered(_flagged(own, seen, shards), cover, min_length, shards).withColumnRenamed("doc_id", "rep_id")
+    if links:
+        spans = _spans(own, seen, shards, cover, min_length)
+        both = spans.select(F.col("doc_a").alias("rep_id"), F.col("doc_b").alias("other")).unionByName(spans.select(F.col("doc_b").alias("rep_id"), F.col("doc_a").alias("other")))
+        parts = parts.join(both.groupBy("rep_id").agg(F.count_distinct("other").alias("n_links")), "rep_id", "full")
+    member = _classes(seen)
     counts = member.groupBy("rep_id").agg((F.count("*") - 1).alias("n_copies"))
-    known = member.join(counts, "rep_id").join(parts, "rep_id", "left").select(F.col("doc_id").alias("k"), "rep_id", "n_copies", "n_links", "covered")
+    extra = ["n_links"] if links else []
+    known = member.join(counts, "rep_id").join(parts, "rep_id", "left").select(F.col("doc_id").alias("k"), "rep_id", "n_copies", *extra, "covered")
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.col("text").cast("string")).cast("long").alias("n_chars"))
     return base.join(known, base.doc_id == known.k, "left").select(
-        "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), "n_chars", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), "n_chars", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), *[F.coalesce(c, F.lit(0)).alias(c) for c in extra],
         F.when(F.col("n_copies") > 0, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("shared_chars"),
     ).withColumn("shared_part", F.coalesce(F.try_divide(F.col("shared_chars"), F.col("n_chars")), F.lit(0.0)))

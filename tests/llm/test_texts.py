@@ -301,6 +301,28 @@ def test_most_rows_are_copies(spark):
         assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
 
 
+def test_shared_parts_need_no_pairs(spark):
+    """A passage of all texts, also one that repeats itself: found as by pairs, and few entries are sent for it."""
+    from chronolith.llm import spans
+
+    rng = np.random.default_rng(3)
+    body = "".join(map(chr, rng.integers(97, 123, 500)))
+    texts = ["".join(map(chr, rng.integers(97, 123, 300))) + body for _ in range(50)]
+    w = spans._Windows(texts)
+    period, residues, width = spans._cover(200, 7)
+    owner, place = w.anchors(period, residues, width)
+    send, known = spans._locally_shared(owner, w.hashes(place, width))
+    at = place - w.first[owner]
+    assert known[at >= 300].all() and not known[at < 290].any()
+    assert send.sum() <= (at < 300).sum() + ((at >= 300) & (owner == 0)).sum() and send[at >= 300].sum() == ((at >= 300) & (owner == 0)).sum()
+    rows = list(enumerate(texts)) + [(100, "ab" * 300), (101, "x" + "ab" * 200 + "y" + "ab" * 150), (102, None), (103, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["shared_chars"] for r in shared_parts(df, links=False).collect()}
+    assert got == brute_shared(rows) and "n_links" not in shared_parts(df.limit(0), links=False).columns
+    plan = shared_parts(df, links=False)._jdf.queryExecution().analyzed().toString()
+    assert "pos_a" not in plan
+
+
 def test_other_lengths(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
