@@ -42,10 +42,10 @@ from .encoding import text_chunks
 MIN_LENGTH = 200
 #: The cover has ORDER + 1 residues modulo ORDER**2 + ORDER + 1; a prime power.
 ORDER = 7
-#: Input bytes per hash shard; sets how many shards there are, at any size.
-SHARD_BYTES = 4 << 20
+#: Input bytes per hash shard, as the planner estimates them (about a quarter of a text column's real size); sets how many shards there are, at any size.
+SHARD_BYTES = 1 << 20
 #: Shards that a task looks through; sets how many tasks there are, at any size.
-TASK_SHARDS = 4
+TASK_SHARDS = 2
 
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd
 _MIX = (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
