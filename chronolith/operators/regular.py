@@ -6,8 +6,8 @@ normal equations, and a vectorised solve runs over series.  An empty bucket's
 model value is the prediction plus the residuals of the observed buckets around
 it, bridged in a straight line; its value is what the statement's fill asks for.
 
-Only observed buckets are sorted by series; empty ones are made from the gap
-between two of them.
+Only observed buckets are put in order, in stretches; empty ones are made from
+the gap between two of them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 # Microseconds of the units of a duration.
 UNITS = {"ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 DAY = UNITS["d"]
@@ -87,11 +89,22 @@ def _observed(counted: DataFrame) -> DataFrame:
 
 
 def _holes(observed: DataFrame, carried: list[str]) -> DataFrame:
-    """A row for each empty bucket, with the bucket and ``carried`` columns of the observed ones before (b_) and after (a_) it."""
-    line = Window.partitionBy(*_SERIES).orderBy("bucket")
+    """A row for each empty bucket, with the bucket and ``carried`` columns of the observed ones before (b_) and after (a_) it.
+
+    A series is put in order in stretches of buckets; each ends with a copy of
+    the first bucket after it, so only a row a stretch is sorted by series.
+    """
     step = F.col("interval")
     sides = ["bucket", *carried]
-    met = observed.withColumns({f"next_{c}": F.lead(c).over(line) for c in sides} | {"first": F.lag("bucket").over(line).isNull()})
+    rows = observed.withColumn("stretch", F.expr(f"bucket div (interval * {STRETCH})"))
+    series = Window.partitionBy(*_SERIES).orderBy("stretch")
+    heads = rows.groupBy(*_SERIES, "stretch").agg(F.min(F.struct(*sides)).alias("head"))
+    heads = heads.select(*_SERIES, "stretch", F.lead("head").over(series).alias("head"), F.lag("stretch").over(series).isNull().alias("earliest"))
+    ends = heads.select(*_SERIES, "stretch", *[F.col(f"head.{c}").alias(c) for c in sides], "earliest")
+    rows = rows.withColumn("earliest", F.lit(None).cast("boolean")).unionByName(ends, allowMissingColumns=True)
+    line = Window.partitionBy(*_SERIES, "stretch").orderBy("earliest", "bucket")  # copies, which have it, come last
+    whole = Window.partitionBy(*_SERIES, "stretch")
+    met = rows.withColumns({f"next_{c}": F.lead(c).over(line) for c in sides} | {"first": F.lag("bucket").over(line).isNull() & F.max("earliest").over(whole)}).where("earliest is null")
     lowest, highest = F.when(F.col("low").isNotNull(), _bucket(F.col("low"))), F.when(F.col("high").isNotNull(), _bucket(F.col("high") - 1))
 
     def hole(start: Column, stop: Column, ahead: bool) -> Column:
@@ -149,7 +162,9 @@ def fit(observed: DataFrame) -> DataFrame:
 
 def _modelled(readings: DataFrame, statements: DataFrame) -> DataFrame:
     """Every bucket of each series' grid, as ``regular_series`` describes them, with the statement's fill; buckets to fill with none too."""
-    seen = _observed(counted_readings(readings, statements))
+    shared_folder(readings.sparkSession)
+    # every part below needs the observed buckets
+    seen = _observed(counted_readings(readings, statements)).checkpoint()
     model = fit(seen)
     met = seen.join(model, _SERIES)
     x = _features(F.col("bucket"), F.col("middle"), F.col("width"))
