@@ -33,6 +33,15 @@ def p1_measurement_counts(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_counts(sketch(_table(spark, folder, "measurement_fields"), F.col("measurement"), ["field_type"]))
 
 
+def p1_measurement_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact counts of measurement names beside the sketches': whether they lie within five standard errors."""
+    f = _table(spark, folder, "measurement_fields")
+    found = distinct_counts(sketch(f, F.col("measurement"), ["field_type"]), deviations=5.0)
+    exact = f.groupBy("field_type").agg(F.count_distinct("measurement").alias("exact")).withColumn("t", F.lit(0)).unionByName(f.agg(F.count_distinct("measurement").alias("exact")).select(F.lit(None).cast("int").alias("field_type"), "exact", F.lit(1).alias("t")))
+    exact = exact.withColumnRenamed("field_type", "k")
+    return found.join(exact, (found.totals == exact.t) & found.field_type.eqNullSafe(exact.k)).select("totals", "field_type", "exact", F.col("exact").between(F.floor("low"), F.ceil("high")).alias("within"))
+
+
 def p4_seen(spark: SparkSession, folder: str) -> DataFrame:
     return seen_before(_table(spark, folder, "series_segments"), _table(spark, folder, "series_log"))
 
@@ -74,7 +83,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_series_counts, p1_sketches, p1_measurement_counts, p4_found, p4_seen, p4_audit, p7_ids, p8_containers, p8_bounds, p8_partitions, p9_found, p9_spans, p9_shared)}
+    return {f.__name__: f for f in (p1_series_counts, p1_sketches, p1_measurement_counts, p1_measurement_audit, p4_found, p4_seen, p4_audit, p7_ids, p8_containers, p8_bounds, p8_partitions, p9_found, p9_spans, p9_shared)}
 
 
 _SEEN = f"""WITH keys AS (
@@ -86,6 +95,7 @@ _SEEN = f"""WITH keys AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_measurement_audit": "SELECT 0 AS totals, field_type, count(DISTINCT measurement) AS exact, true AS within FROM measurement_fields GROUP BY field_type UNION ALL SELECT 1, NULL, count(DISTINCT measurement), true FROM measurement_fields",
         "p4_found": f"{_SEEN} SELECT entry_id FROM keys JOIN firsts USING (key) WHERE entry_id > first",
         "p4_seen": f"{_SEEN} SELECT entry_id, entry_id > first AS seen FROM keys LEFT JOIN firsts USING (key) WHERE entry_id >= 0",
     }
