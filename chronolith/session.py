@@ -28,9 +28,11 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **more: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; in tests one under the warehouse."""
+    """The folder all executors share, as the cluster names it; on one machine, as in tests, one under the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
